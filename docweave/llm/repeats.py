@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, map_rows, release, utf8
+from .common import discard, keep, map_rows, utf8
 
 #: Bytes of the rolling hash, starts parsed at once, block sizes of the refinement.
 WINDOW, CHUNK, BLOCKS = 8, 1 << 22, (32, 4, 1)
@@ -113,8 +113,8 @@ def parse(df: DataFrame, length: int, text_col: str) -> DataFrame:
 def _contexts(open_: DataFrame, df: DataFrame, length: int, text_col: str) -> DataFrame:
     """(key, t, lo, hi, done, ctx) for open phrases, ctx the bytes from the first start to the end of the last one's string."""
     lists = open_.groupBy("key").agg(F.collect_list(F.struct("t", "lo", "hi", "done")).alias("p"))
-    texts = df.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    joined = texts.join(lists, "key")
+    # One row for each text, joined by the key that it is already dealt by.
+    texts = df.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text")).groupBy("key").agg(F.first("text").alias("text"))
 
     def make():
         def f(keys, texts, many):
@@ -126,8 +126,7 @@ def _contexts(open_: DataFrame, df: DataFrame, length: int, text_col: str) -> Da
 
         return f
 
-    # Several rows may have the same text: one context each is enough.
-    return map_rows(joined, ["key", "text", "p"], "key binary, t long, lo long, hi long, done boolean, ctx binary", make).groupBy("key", "t", "lo", "hi", "done").agg(F.first("ctx").alias("ctx"))
+    return map_rows(texts.join(lists, "key"), ["key", "text", "p"], "key binary, t long, lo long, hi long, done boolean, ctx binary", make)
 
 
 def _blocks(contexts: DataFrame, length: int, block: int) -> DataFrame:
@@ -150,49 +149,53 @@ def _blocks(contexts: DataFrame, length: int, block: int) -> DataFrame:
     return map_rows(contexts, ["key", "t", "lo", "hi", "done", "ctx"], "key binary, t long, lo long, hi long, done boolean, core long, h1 long, h2 long, ctx binary", make)
 
 
-def repeated_starts(df: DataFrame, length: int, text_col: str = "text") -> DataFrame:
-    """(key, lo, hi): starts lo .. hi of the text with this key begin strings that also begin elsewhere.  Ranges may come twice."""
-    spark = df.sparkSession
+def repeated_starts(df: DataFrame, length: int, text_col: str = "text") -> list[DataFrame]:
+    """Tables (key, lo, hi), kept: starts lo .. hi of the text with this key begin strings that also begin elsewhere.  Ranges may come twice."""
     every = parse(df, length, text_col)
     names = every.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
     live = keep(every.join(names, "core"))
-    release(spark)
     contexts = keep(live.groupBy("core", "h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("key", "t", "lo", "hi")).alias("p")))
-    found = [live.join(contexts.where("n > 1").select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("key", "lo", "hi")]
+    found = [keep(live.join(contexts.where("n > 1").select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("key", "lo", "hi").distinct())]
+    discard(live)
     mixed = contexts.groupBy("core").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("core")
-    open_ = contexts.join(mixed, "core").select("p.*", (F.col("n") > 1).alias("done"))
+    open_ = keep(contexts.join(mixed, "core").select("p.*", (F.col("n") > 1).alias("done")))
+    discard(contexts)
     now = keep(_contexts(open_, df, length, text_col))
-    release(spark)
+    discard(open_)
     for block in BLOCKS:
         # done: the starts are known to repeat; they only serve others as partners
         cut = _blocks(now, length, block)
-        slim = keep(cut) if block > 1 else keep(cut.drop("ctx"))
+        cut = keep(cut if block > 1 else cut.drop("ctx"))
+        discard(now)
+        slim = cut.drop("ctx") if block > 1 else cut
         names = slim.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-        some = slim.drop("ctx").join(names, "core")
+        some = keep(slim.join(names, "core"))
         kinds = keep(some.groupBy("core", "h1", "h2").agg(F.count("*").alias("n"), F.max("done").alias("any"), F.min(F.struct("key", "t", "lo", "hi")).alias("p")))
         twice = kinds.where("n > 1").select("h1", "h2").distinct()
-        found.append(some.where("not done").join(twice, ["h1", "h2"], "left_semi").select("key", "lo", "hi"))
-        if block == 1:
-            break
-        settled = F.col("any") | (F.col("n") > 1)
-        mixed = kinds.groupBy("core").agg(F.count("*").alias("kinds"), F.min(settled).alias("all")).where("kinds > 1 and not all").select("core")
-        rest = kinds.join(mixed, "core").select("p.key", "p.t", "p.lo", "p.hi", settled.alias("settled"))
-        now = keep(slim.drop("done").join(rest, ["key", "t", "lo", "hi"]).select("key", "t", "lo", "hi", F.col("settled").alias("done"), "ctx"))
-        release(spark)
-    all_ = found[0]
-    for x in found[1:]:
-        all_ = all_.unionByName(x)
-    return all_
-
-
-def spans(starts, length: int) -> list[tuple[int, int]]:
-    """Maximal runs [a, b) of bytes that are covered by strings starting in the given ranges."""
+        found.append(keep(some.where("not done").join(twice, ["h1", "h2"], "left_semi").select("key", "lo", "hi")))
+        discard(some)
+        if block > 1:
+            settled = F.col("any") | (F.col("n") > 1)
+            mixed = kinds.groupBy("core").agg(F.count("*").alias("kinds"), F.min(settled).alias("all")).where("kinds > 1 and not all").select("core")
+            rest = kinds.join(mixed, "core").select("p.key", "p.t", "p.lo", "p.hi", settled.alias("settled"))
+            now = keep(cut.drop("done").join(rest, ["key", "t", "lo", "hi"]).select("key", "t", "lo", "hi", F.col("settled").alias("done"), "ctx"))
+        discard(cut, kinds)
+    return found
+
+
+#: A range of starts as one long.
+_SHIFT = 32
+
+
+def spans(ranges, length: int) -> list[tuple[int, int]]:
+    """Maximal runs [a, b) of bytes that are covered by strings starting in the given ranges (each first << 32 | last)."""
     out: list[list[int]] = []
-    for lo, hi in sorted((s["lo"], s["hi"]) for s in starts if s is not None):
+    for r in sorted(ranges):
+        lo, end = r >> _SHIFT, (r & 0xFFFFFFFF) + length
         if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi + length)
+            out[-1][1] = max(out[-1][1], end)
         else:
-            out.append([lo, hi + length])
+            out.append([lo, end])
     return [(a, b) for a, b in out]
 
 
@@ -206,8 +209,12 @@ def kept_bytes(data: bytes, removed: list[tuple[int, int]]) -> bytes:
 
 
 def with_repeats(df: DataFrame, length: int = 400, text_col: str = "text", out_col: str = "__repeats") -> DataFrame:
-    """df with a column of start ranges (array<struct<lo, hi>>, null where nothing repeats)."""
-    ranges = repeated_starts(df, length, text_col).groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias(out_col)).withColumnRenamed("key", f"{out_col}_key")
+    """df with a column of start ranges (array<long>, each first << 32 | last; null where nothing repeats)."""
+    first, *rest = repeated_starts(df, length, text_col)
+    for x in rest:
+        first = first.unionByName(x)
+    packed = first.select(F.col("key").alias(f"{out_col}_key"), F.shiftleft("lo", _SHIFT).bitwiseOR(F.col("hi")).alias("r"))
+    ranges = packed.groupBy(f"{out_col}_key").agg(F.collect_set("r").alias(out_col))
     keyed = df.withColumn(f"{out_col}_own", text_key(F.col(text_col)))
     return keyed.join(ranges, F.col(f"{out_col}_own") == F.col(f"{out_col}_key"), "left").drop(f"{out_col}_own", f"{out_col}_key")
 
@@ -243,7 +250,7 @@ def without_repeats(df: DataFrame, length: int = 400, text_col: str = "text") ->
             if text is None or r is None or not len(r):
                 out.append(text)
             else:
-                out.append(kept_bytes(utf8(text), spans(r, length)).decode("utf-8", "ignore"))
+                out.append(kept_bytes(utf8(text), spans(r.tolist(), length)).decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
     marked = with_repeats(df, length, text_col)
