@@ -20,7 +20,7 @@ BATCH_BYTES = 8 << 20
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session by bytes, so that long texts don't fill a worker; a smaller bound stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = str(spark.conf.get(name, "")).rstrip("bB")
+    now = str(spark.conf.get(name)).rstrip("bB")
     if not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
