@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import discard, keep
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -33,7 +33,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     last = sign(edges)
     for _ in range(rounds):
-        edges = keep(step(step(edges, True), False).where("u <> v"))
+        before, edges = edges, keep(step(step(edges, True), False).where("u <> v"))
+        discard(before)
         now = sign(edges)
         if now == last:
             break

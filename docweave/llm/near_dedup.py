@@ -8,9 +8,10 @@ so the branching process of a linked pair survives, and unlike classes part at o
 a node of up to ``SMALL`` classes compares all of its classes; a larger one branches on, down to ``DEPTH``.
 
 Every node, small or large, first compares its classes with one of them, the pivot: as many comparisons as
-classes.  What this confirms is gathered into components.  Then small nodes (and nodes that are
-still large at the last level, block by block) compare their classes across components only, since links inside one
-add nothing.  So a group of many near copies costs what it has members, yet no candidate is dropped.
+classes.  What this confirms is gathered into components, and links inside one add nothing more.  So a node of one
+component is done; where few classes are outside a node's largest component, these are compared with all of it, block by
+block (so are nodes still large at the last level); only nodes of many components branch on.  A group of
+many near copies then costs what it has members, and no candidate is dropped.
 Every link is confirmed on full sets: |A and B| * 100 >= |A or B| * percent.
 
 Recall: a pair at the threshold 0.85 meets at the first level of one tree with probability 0.87, so ten trees miss it
@@ -27,10 +28,10 @@ import functools
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, map_rows, release, utf8
+from .common import discard, keep, map_rows, release, utf8
 from .components import components
 
 #: Coordinates of a signature; independent trees; levels; classes that a small node has at most.
@@ -204,23 +205,48 @@ def _confirm(pairs: DataFrame, active: DataFrame, width: int, percent: int) -> D
     return keep(map_rows(whole, ["a", "b", "text_a", "text_b"], "a long, b long", exact))
 
 
-def _across(members: DataFrame, comp: DataFrame, block: int = SMALL) -> DataFrame:
-    """Pairs of classes of a node that are in different components.
+def _mixed(level: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (node, cid, comp) of nodes that hold several components, and those nodes (node, size, major, minor): the largest component, and the classes outside it."""
+    named = level.select("node", "cid").join(comp, F.col("cid") == F.col("id"), "left").select("node", "cid", F.coalesce("component", "cid").alias("comp"))
+    shares = named.groupBy("node", "comp").agg(F.count("*").alias("c"))
+    nodes = shares.groupBy("node").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("top")).where("size > top.c")
+    return named, nodes.select("node", "size", F.col("top.comp").alias("major"), (F.col("size") - F.col("top.c")).alias("minor"))
+
 
-    members: (node, cid).  Nodes whose classes are all in one component are left out.  In the others the classes outside the node's
-    largest component seek partners among all.  Seekers and partners are cut into blocks of about ``block``; each pair of blocks is a
-    group of its own, so no task holds more than two blocks at once.
+def _across(named: DataFrame, nodes: DataFrame, classes: DataFrame, threshold: float, block: int = SMALL) -> DataFrame:
+    """Pairs (a, b) of classes of a node that are in different components and whose sketches allow a link.
+
+    The classes outside the node's largest component seek partners among all.  Seekers and partners are cut into blocks of about
+    ``block``; each pair of blocks is a group of its own, so no task holds more than two blocks at once.
     """
-    named = members.join(comp, F.col("cid") == F.col("id"), "left").select("node", "cid", F.coalesce("component", "cid").alias("comp"))
-    shares = named.groupBy("node", "comp").agg(F.count("*").alias("c"))
-    mixed = shares.groupBy("node").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("top")).where("size > top.c")
-    cut = mixed.select("node", F.col("top.comp").alias("major"), F.ceil(F.col("size") / block).cast("int").alias("bt"), F.ceil((F.col("size") - F.col("top.c")) / block).cast("int").alias("bs"))
+    cut = nodes.select("node", "major", F.ceil(F.col("size") / block).cast("int").alias("bt"), F.ceil(F.col("minor") / block).cast("int").alias("bs"))
     rows = named.join(cut, "node")
     partners = rows.select("node", F.pmod(F.xxhash64("cid"), F.col("bt")).cast("int").alias("t"), F.explode(F.expr("sequence(0, bs - 1)")).alias("s"), "cid", "comp", F.lit(False).alias("seeks"))
     seekers = rows.where("comp <> major").select("node", F.explode(F.expr("sequence(0, bt - 1)")).alias("t"), F.pmod(F.xxhash64("cid", F.lit(1)), F.col("bs")).cast("int").alias("s"), "cid", "comp", F.lit(True).alias("seeks"))
-    grouped = partners.unionByName(seekers).groupBy("node", "t", "s").agg(F.collect_list(F.struct("cid", "comp", "seeks")).alias("m"))
-    met = F.expr("flatten(transform(filter(m, x -> x.seeks), x -> transform(filter(m, y -> not y.seeks and x.comp <> y.comp), y -> struct(least(x.cid, y.cid) as a, greatest(x.cid, y.cid) as b))))")
-    return grouped.select(F.explode(met).alias("p")).select("p.a", "p.b").distinct()
+    signed = partners.unionByName(seekers).join(classes.select("cid", "n", "sig"), "cid")
+    grouped = signed.groupBy("node", "t", "s").agg(F.collect_list(F.struct("cid", "comp", "seeks", "n", "sig")).alias("m"))
+
+    def make():
+        def f(groups):
+            left, right = [], []
+            for m in groups:
+                ask, have = [x for x in m if x["seeks"]], [x for x in m if not x["seeks"]]
+                if not ask or not have:
+                    continue
+                sigs = np.stack([np.frombuffer(x["sig"], np.uint32) for x in have])
+                comps, sizes = np.array([x["comp"] for x in have]), np.array([x["n"] for x in have])
+                for x in ask:
+                    near = (sigs == np.frombuffer(x["sig"], np.uint32)).mean(1) >= threshold - SLACK
+                    fits = np.minimum(sizes, x["n"]) >= threshold * np.maximum(sizes, x["n"]) - 1e-9
+                    for i in np.flatnonzero(near & fits & (comps != x["comp"])):
+                        y = have[i]["cid"]
+                        left.append(min(x["cid"], y))
+                        right.append(max(x["cid"], y))
+            return left, right
+
+        return f
+
+    return map_rows(grouped, ["m"], "a long, b long", make).distinct()
 
 
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,40 +254,45 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
 
     width: words of a shingle.  Ids must be integers.
     """
-    spark: SparkSession = df.sparkSession
     threshold = percent / 100
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     signed = keep(signatures(docs, width, "doc", "text"))
-    classes = keep(signed.where("n_shingles > 0 and doc is not null").groupBy("set_hash").agg(F.min("doc").alias("cid"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
-    # Rows that share an id may be in several classes; these are one document, so their classes are linked through it.
-    by_doc = signed.where("n_shingles > 0 and doc is not null").select("doc", "set_hash").join(classes.select("set_hash", "cid"), "set_hash").select("doc", "cid")
-    same = by_doc.where("doc <> cid").select(F.col("doc").alias("a"), F.col("cid").alias("b"))
+    some = signed.where("n_shingles > 0 and doc is not null")
+    classes = keep(some.groupBy("set_hash").agg(F.min("doc").alias("cid"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
+    # Documents of a class are linked to it by its smallest id.  Rows that share an id may be in several classes, which it then links.
+    same = some.select("doc", "set_hash").join(classes.select("set_hash", "cid"), "set_hash").where("doc <> cid").select(F.col("doc").alias("a"), F.col("cid").alias("b"))
     first = keep(classes.groupBy("cid").agg(F.first("n").alias("n"), F.first("sig").alias("sig")))  # an id with several texts: any one
 
     level = keep(_sized(_roots(first, threshold)))
-    nodes = level.where(F.col("size") <= SMALL).select("node", "cid", "pivot")
-    pivots = level.where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b"))
-    release(spark)
-    for _ in range(DEPTH - 1):
-        large = level.where(F.col("size") > SMALL)
-        if large.isEmpty():
-            break
-        level = keep(_sized(_deeper(large.select("node", "cid").join(first.select("cid", "sig"), "cid"), threshold)))
-        nodes = nodes.unionByName(level.where(F.col("size") <= SMALL).select("node", "cid", "pivot"))
-        pivots = pivots.unionByName(level.where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")))
-    else:
-        nodes = nodes.unionByName(level.where(F.col("size") > SMALL).select("node", "cid", "pivot"))
-    wanted = nodes.select("cid").unionByName(pivots.select(F.col("a").alias("cid"))).unionByName(pivots.select(F.col("b").alias("cid"))).distinct()
+    wanted = level.select("cid").distinct()
     texts = docs.where("doc is not null").join(wanted, F.col("doc") == F.col("cid")).groupBy("cid").agg(F.min("text").alias("text"))
     active = keep(texts.join(first, "cid").select("cid", "n", "sig", "text"))
-    release(spark)
-    links = _confirm(pivots.distinct(), active, width, percent)
-    comp = keep(components(links))
-    rest = keep(_across(nodes.select("node", "cid"), comp))
-    more = _confirm(rest, active, width, percent)
-    both = links.unionByName(more)
-    final = keep(components(both.unionByName(same)))
+    release(df.sparkSession)
+    links, comp = [], df.sparkSession.createDataFrame([], "id long, component long")
+    for depth in range(DEPTH):
+        own, other = comp.select(F.col("id").alias("cid"), F.col("component").alias("x")), comp.select(F.col("id").alias("pivot"), F.col("component").alias("y"))
+        new = level.where("cid <> pivot").select("cid", "pivot").distinct()
+        if depth:
+            new = new.join(own, "cid", "left").join(other, "pivot", "left").where("coalesce(x, cid) <> coalesce(y, pivot)")
+        links.append(_confirm(new.select(F.col("pivot").alias("a"), F.col("cid").alias("b")), active, width, percent))
+        comp = keep(components(_union(links)))
+        named, nodes = _mixed(level, comp)
+        named, nodes = keep(named.join(nodes.select("node"), "node", "left_semi")), keep(nodes)
+        ready = nodes if depth == DEPTH - 1 else nodes.where((F.col("size") <= SMALL) | (F.col("minor") <= SMALL))
+        pairs = keep(_across(named, ready, active, threshold))
+        links.append(_confirm(pairs, active, width, percent))
+        large = named.join(nodes.join(ready.select("node"), "node", "left_anti").select("node"), "node", "left_semi")
+        discard(level)
+        if depth == DEPTH - 1 or large.isEmpty():
+            break
+        level = keep(_sized(_deeper(large.select("node", "cid").join(active.select("cid", "sig"), "cid"), threshold)))
+    discard(active, first)
+    final = keep(components(_union([*links, same])))
     named = signed.select("doc", "n_shingles").join(final, F.col("doc") == F.col("id"), "left")
     out = named.select("doc", "n_shingles", F.coalesce("component", "doc").alias("component_id"))
     kept = F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True))
     return out.select(F.col("doc").alias(id_col), "n_shingles", "component_id", kept.alias("kept"))
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, tables)
