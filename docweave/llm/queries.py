@@ -98,13 +98,13 @@ def _license_sql() -> str:
     return f"""
 WITH known(sentence, id) AS (VALUES {known}),
 lines AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '([.!?;:])[ \\t\\r\\n]+', '\\1' || chr(10), 'g') AS t FROM documents),
-normal AS (SELECT doc_id, list_transform(string_split(regexp_replace(lower(t), '[^\\p{{L}}\\p{{N}}.+\\-\\n]+', ' ', 'g'), chr(10)), x -> regexp_replace(x, '^[ .+\\-]+|[ .+\\-]+$', '', 'g')) AS s FROM lines),
+normal AS (SELECT doc_id, list_transform(string_split(regexp_replace(lower(t), '[^\\p{{L}}\\p{{N}}.+\\-\\n]+', ' ', 'g'), chr(10)), lambda x: regexp_replace(x, '^[ .+\\-]+|[ .+\\-]+$', '', 'g')) AS s FROM lines),
 placed AS (SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) AS pos FROM normal),
 found AS (SELECT doc_id, count(*) AS n, string_agg(id, ' ' ORDER BY pos) AS ids, string_agg(' ' || id || ' ', '' ORDER BY pos) AS rest FROM placed JOIN known USING (sentence) GROUP BY doc_id),
 s0 AS (SELECT d.doc_id, coalesce(n, 0) AS n, coalesce(ids, '') AS ids, coalesce(rest, '  ') AS rest FROM documents d LEFT JOIN found USING (doc_id)),
 {", ".join(steps)}
-SELECT doc_id, n AS n_sentences, ids AS sentence_ids, array_to_string(list_filter([{shown}], x -> x IS NOT NULL), ',') AS licenses,
-  len(list_filter(string_split(rest, ' '), x -> x NOT IN ('', '#'))) AS n_parts
+SELECT doc_id, n AS n_sentences, ids AS sentence_ids, array_to_string(list_filter([{shown}], lambda x: x IS NOT NULL), ',') AS licenses,
+  len(list_filter(string_split(rest, ' '), lambda x: x NOT IN ('', '#'))) AS n_parts
 FROM {at}"""
 
 
