@@ -152,11 +152,13 @@ def _blocks(contexts: DataFrame, length: int, block: int) -> DataFrame:
 def repeated_starts(df: DataFrame, length: int, text_col: str = "text") -> list[DataFrame]:
     """Tables (key, lo, hi), kept: starts lo .. hi of the text with this key begin strings that also begin elsewhere.  Ranges may come twice."""
     every = parse(df, length, text_col)
-    names = every.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    # Names are kept as a table of their own, so that in the join Spark can split one that very many phrases share.
+    names = keep(every.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
     live = keep(every.join(names, "core"))
     contexts = keep(live.groupBy("core", "h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("key", "t", "lo", "hi")).alias("p")))
-    found = [keep(live.join(contexts.where("n > 1").select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("key", "lo", "hi").distinct())]
-    discard(live)
+    twice = keep(contexts.where("n > 1").select("h1", "h2").distinct())
+    found = [keep(live.join(twice, ["h1", "h2"], "left_semi").select("key", "lo", "hi").distinct())]
+    discard(live, names, twice)
     mixed = contexts.groupBy("core").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("core")
     open_ = keep(contexts.join(mixed, "core").select("p.*", (F.col("n") > 1).alias("done")))
     discard(contexts)
@@ -168,12 +170,12 @@ def repeated_starts(df: DataFrame, length: int, text_col: str = "text") -> list[
         cut = keep(cut if block > 1 else cut.drop("ctx"))
         discard(now)
         slim = cut.drop("ctx") if block > 1 else cut
-        names = slim.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+        names = keep(slim.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
         some = keep(slim.join(names, "core"))
         kinds = keep(some.groupBy("core", "h1", "h2").agg(F.count("*").alias("n"), F.max("done").alias("any"), F.min(F.struct("key", "t", "lo", "hi")).alias("p")))
-        twice = kinds.where("n > 1").select("h1", "h2").distinct()
+        twice = keep(kinds.where("n > 1").select("h1", "h2").distinct())
         found.append(keep(some.where("not done").join(twice, ["h1", "h2"], "left_semi").select("key", "lo", "hi")))
-        discard(some)
+        discard(some, names, twice)
         if block > 1:
             settled = F.col("any") | (F.col("n") > 1)
             mixed = kinds.groupBy("core").agg(F.count("*").alias("kinds"), F.min(settled).alias("all")).where("kinds > 1 and not all").select("core")
