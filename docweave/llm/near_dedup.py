@@ -158,8 +158,11 @@ def _deeper(large: DataFrame, threshold: float) -> DataFrame:
 
 
 def _sized(members: DataFrame) -> DataFrame:
-    """Members of nodes with two classes or more, with their node's size and its smallest class, the pivot."""
-    sizes = members.groupBy("node").agg(F.count("*").alias("size"), F.min("cid").alias("pivot")).where("size > 1")
+    """Members of nodes with two classes or more, with their node's size and its smallest class, the pivot.
+
+    Sizes are kept as a table of their own, so that in the join Spark can split a node that very many classes share.
+    """
+    sizes = keep(members.groupBy("node").agg(F.count("*").alias("size"), F.min("cid").alias("pivot")).where("size > 1"))
     return members.join(sizes, "node")
 
 
