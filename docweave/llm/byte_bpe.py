@@ -22,11 +22,11 @@ import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_rows, utf8
+from .common import Memo, map_rows, utf8
 from .pretokens import Splitter
 
 #: Pre-tokens that a worker remembers, pairs of tokens whose fit it remembers, and the longest remembered pre-token.
-CACHE, PAIRS, LONGEST = 400_000, 1_000_000, 64
+CACHE, PAIRS, LONGEST = 200_000, 200_000, 64
 #: No token.
 _none = -1
 
@@ -44,8 +44,7 @@ class ByteBPE:
         for b, i in ranks.items():
             self.scan.add_word(b.decode("latin-1"), i)
         self.scan.make_automaton()
-        self.fits_memo: dict[tuple[int, int], bool] = {}
-        self.memo: dict[str, bytes] = {}
+        self.fits_memo, self.memo = Memo(PAIRS), Memo(CACHE)
         #: The longest token that is a proper prefix of a token; -1: none.
         self.shorter: dict[int, int] = {}
         for i, b in self.bytes.items():
@@ -91,11 +90,11 @@ class ByteBPE:
                 return True
 
     def fits(self, a: int, b: int) -> bool:
-        found = self.fits_memo.get((a, b))
+        pair = a << 32 | b
+        found = self.fits_memo.get(pair)
         if found is None:
-            if len(self.fits_memo) >= PAIRS:
-                self.fits_memo.clear()
-            found = self.fits_memo[a, b] = self._keeps(a, b)
+            found = self._keeps(a, b)
+            self.fits_memo.put(pair, found)
         return found
 
     def encode_piece(self, data: bytes) -> list[int]:
@@ -132,14 +131,12 @@ class ByteBPE:
         """Ids of pre-tokens, as little-endian unsigned 32-bit integers."""
         memo, out = self.memo, []
         for p in pieces:
-            ids = memo.get(p)
+            ids = memo.new.get(p) or memo.get(p)
             if ids is None:
                 found = self.encode_piece(utf8(p))
                 ids = struct.pack(f"<{len(found)}I", *found)
                 if len(p) <= LONGEST:
-                    if len(memo) >= CACHE:
-                        memo.clear()
-                    memo[p] = ids
+                    memo.put(p, ids)
             out.append(ids)
         return b"".join(out)
 

@@ -17,6 +17,24 @@ SLICE_ROWS = 256
 BATCH_BYTES = 8 << 20
 
 
+class Memo:
+    """Remembers up to about ``size`` answers in two generations: what was not asked for since the last turn is dropped."""
+
+    def __init__(self, size: int):
+        self.half, self.new, self.old = size // 2, {}, {}
+
+    def get(self, key):
+        found = self.new.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value):
+        if len(self.new) >= self.half:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session by bytes, so that long texts don't fill a worker; a smaller bound stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -31,16 +31,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, keep, map_rows, release, utf8
+from .common import Memo, discard, keep, map_rows, release, utf8
 from .components import components
 
 #: Coordinates of a signature; independent trees; levels; classes that a small node has at most.
 COORDINATES, TREES, DEPTH, SMALL = 64, 10, 4, 48
 #: Words that a worker remembers the hash of.
-WORDS = 1_000_000
+WORDS = 200_000
 #: A pair whose signatures agree in a lower share can't be above the threshold but with probability 1e-7 (five and a half deviations).
 SLACK = 0.245
-_words: dict[bytes, int] = {}
+_words = Memo(WORDS)
 _U = np.uint64
 
 
@@ -49,13 +49,13 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     words = utf8(text).lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    if len(_words) > WORDS:
-        _words.clear()
-    get, own = _words.get, []
+    own = []
     for w in words:
-        h = get(w)
+        h = _words.new.get(w) or _words.get(w)
         if h is None:
-            h = _words[w] = xxhash.xxh3_64_intdigest(w)
+            h = xxhash.xxh3_64_intdigest(w)
+            if len(w) <= 64:
+                _words.put(w, h)
         own.append(h)
     h = np.array(own, np.uint64)
     if len(h) < width:

@@ -17,15 +17,15 @@ from collections import Counter
 
 from pyspark.sql import DataFrame
 
-from .common import map_rows, utf8
+from .common import Memo, map_rows, utf8
 from .pretokens import Splitter, library
 
 #: Entries of the broadcast table (a few hundred kB), of a task's summary while it counts, and of a worker's cache.
-TABLE, SUMMARY, CACHE = 16_384, 131_072, 500_000
+TABLE, SUMMARY, CACHE = 16_384, 65_536, 250_000
 #: Longer pre-tokens aren't worth a place in a table or cache.
 LONGEST = 64
 
-_cache: dict[tuple[str, str], dict[str, int]] = {}
+_cache: dict[tuple[str, str], Memo] = {}
 
 
 def _cut(counts: Counter, size: int) -> Counter:
@@ -78,7 +78,7 @@ def count_tokens(df: DataFrame, tokenizer_json: str, pattern: str, id_col: str =
         tok = library(tokenizer_json)
         split, known = Splitter(pattern, tokenizer_json), table.value
         special = [x.content for x in tok.get_added_tokens_decoder().values()]
-        cache = _cache.setdefault((tokenizer_json, pattern), {})
+        cache = _cache.setdefault((tokenizer_json, pattern), Memo(CACHE))
 
         def plain(text: str) -> int:
             total, rest = 0, []
@@ -94,9 +94,9 @@ def count_tokens(df: DataFrame, tokenizer_json: str, pattern: str, id_col: str =
                 new = list(dict.fromkeys(rest))
                 own = dict(zip(new, (len(e.ids) for e in tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
                 total += sum(map(own.__getitem__, rest))
-                if len(cache) + len(own) > CACHE:
-                    cache.clear()
-                cache.update((k, v) for k, v in own.items() if len(k) <= LONGEST)
+                for k, v in own.items():
+                    if len(k) <= LONGEST:
+                        cache.put(k, v)
             return total
 
         def one(text: str) -> int:
