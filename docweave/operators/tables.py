@@ -42,15 +42,15 @@ class KeyedTable:
 
     def _state(self) -> dict[str, str]:
         """Folder of each partition (of the whole table: '')."""
-        fs, p = self._fs(f"{self.path}/_current")
+        fs, p = self._fs(f"{self.path}/current.json")
         if not fs.exists(p):
             return {}
-        rows = self.spark.read.text(f"{self.path}/_current", wholetext=True).collect()
+        rows = self.spark.read.text(f"{self.path}/current.json", wholetext=True).collect()
         return json.loads(rows[0][0]) if rows else {}
 
     def _commit(self, state: dict[str, str]) -> None:
-        fs, target = self._fs(f"{self.path}/_current")
-        temp = self._fs(f"{self.path}/_next-{uuid.uuid4().hex}")[1]
+        fs, target = self._fs(f"{self.path}/current.json")
+        temp = self._fs(f"{self.path}/next-{uuid.uuid4().hex}")[1]
         out = fs.create(temp)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -80,21 +81,25 @@ class Indexer:
         Rows that could not be loaded carry ``error`` in ``extra``; they are reported and change nothing.
         """
         batch = last_of_source(raw.where(F.col("knowledge_base_id") == kb)).persist()
+        held = [batch]
         error = F.try_element_at("extra", F.lit("error"))
         try:
             failed = batch.where(error.isNotNull()).select("source_uri", F.lit(False).alias("skipped"), F.lit(0).cast("long").alias("chunk_count"), error.alias("error"))
             done = process(batch.where(error.isNull()))
-            state = changed(done.select("*", F.col("metadata.knowledge_base_id").alias("knowledge_base_id"), F.col("metadata.source_uri").alias("source_uri"), F.col("metadata.content_hash").alias("content_hash")), self.registry.table.read()).persist()
+            keyed = done.select("*", F.col("metadata.knowledge_base_id").alias("knowledge_base_id"), F.col("metadata.source_uri").alias("source_uri"), F.col("metadata.content_hash").alias("content_hash"))
+            state = changed(keyed, self.registry.table.read()).persist()
+            held.append(state)
             fresh = state.where("changed").select(done.columns)
             if fresh.isEmpty():
                 none = state.select("source_uri", F.lit(True).alias("skipped"), F.lit(0).cast("long").alias("chunk_count"), F.lit(None).cast("string").alias("error"))
-                return _local(none.unionByName(failed))
+                return self._report(none.unionByName(failed))
             embedded, new = embed_cached(chunk(fresh, self.split), self.cache.read(), self.model_id, self.embed, self.per)
             embedded = embedded.persist()
+            held.append(embedded)
             old = self.vectors.read(kb).join(state.where("changed").select("source_uri").distinct(), "source_uri", "left_anti")
             counts = embedded.groupBy("source_uri").agg(F.count("*").alias("n"))
             result = state.select("source_uri", "changed").join(counts, "source_uri", "left")
-            shown = _local(result.select("source_uri", (~F.col("changed")).alias("skipped"), F.coalesce("n", F.lit(0)).cast("long").alias("chunk_count"), F.lit(None).cast("string").alias("error")).unionByName(failed))
+            shown = self._report(result.select("source_uri", (~F.col("changed")).alias("skipped"), F.coalesce("n", F.lit(0)).cast("long").alias("chunk_count"), F.lit(None).cast("string").alias("error")).unionByName(failed))
             self.vectors.table.replace(old.unionByName(embedded.select(old.columns)), kb)
             self.cache.put(new)
             self.registry.set_hashes(state.where("changed").select("knowledge_base_id", "source_uri", "content_hash"))
@@ -102,14 +107,15 @@ class Indexer:
                 call(kb)
             return shown
         finally:
-            batch.unpersist()
-
-
-def _local(df: DataFrame) -> DataFrame:
-    """A report of a batch, evaluated before the tables that it reads change."""
-    out = df.persist()
-    out.count()
-    return out
+            # A file may change under the same path: nothing of this batch may stay cached for the next.
+            for df in held:
+                df.unpersist()
+
+    def _report(self, df: DataFrame) -> DataFrame:
+        """A report of a batch, written before the tables that it reads change."""
+        path = f"{self.vectors.table.path}-reports/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def batch_counts(report: DataFrame) -> DataFrame:

@@ -33,7 +33,6 @@ def index_stream(stream: DataFrame, indexer: Indexer, kb: str, checkpoint: str,
         out = indexer.index(batch, kb)
         if report:
             report(out, number)
-        out.unpersist()
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
