@@ -5,8 +5,8 @@ into blocks, each is compressed with either dictionary, and the normalised diffe
 sizes says which kind of text it is more like.  Logistic regression on labelled rows turns
 the difference (and its share of each text's plain compressed size) into a score.
 
-Labelled rows are used up to a bound: ``blocks`` blocks a class for the dictionaries and ``rows``
-rows for the calibration, chosen by hash.  The dictionaries are built from one half of the
+Labelled rows are used up to a bound: ``BLOCKS`` blocks a class for the dictionaries and ``ROWS``
+rows for the calibration, from ``SAMPLE`` rows of each class and half, chosen by hash.  The dictionaries are built from one half of the
 labelled rows, the calibration is fitted on the other.  Scoring reads whole texts.
 
 Defined results: a null or empty text has both features 0 and so one fixed score; equal texts have equal
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import utf8
 
 #: Bytes of a block, compression level, dictionary bytes; bounds of the labelled sample.
-BLOCK, LEVEL, DICTIONARY, BLOCKS, ROWS = 1024, 3, 32_768, 3000, 6000
+BLOCK, LEVEL, DICTIONARY, BLOCKS, ROWS, SAMPLE = 1024, 3, 32_768, 3000, 6000, 3000
 
 
 @functools.lru_cache(maxsize=8)
@@ -68,7 +68,15 @@ class CompressionQuality:
         rows = labelled.where(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull()).select(
             F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y"), F.md5(F.col(key_col).cast("string")).alias("h")
         )
-        half = F.conv(F.substring("h", 32, 1), 16, 10).cast("int") % 2
+        rows = rows.persist()
+        try:
+            return cls._fit(rows)
+        finally:
+            rows.unpersist()
+
+    @classmethod
+    def _fit(cls, rows: DataFrame) -> CompressionQuality:
+        half = _half(F.col("h"))
         size = 1000  # characters, about a block
         blocks = rows.where(half == 0).select("y", "h", F.posexplode(F.expr(f"transform(sequence(0, greatest(length(t) - 1, 0) div {size}), i -> substring(t, cast(i * {size} + 1 as int), {size}))")))
         kinds = []
@@ -138,13 +146,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50
     return w / scale
 
 
+def _half(h: Column) -> Column:
+    """0 or 1 from a hash in hex: rows for the dictionaries, rows for the calibration."""
+    return F.conv(F.substring(h, 32, 1), 16, 10).cast("int") % 2
+
+
 def holdout(doc_id: Column) -> Column:
     """True for rows that no model may learn from: crc32 of the id as text, modulo 4, is 2."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
 def fit_on(docs: DataFrame, labels: DataFrame) -> CompressionQuality:
-    """A classifier from documents and labels, without held-out rows and rows with a null id."""
+    """A classifier from documents and labels, without held-out rows and rows with a null id.
+
+    The sample is drawn from the labels, so only its texts are read out of docs: its ids, at most ``SAMPLE`` for each class and
+    half, are sent to all tasks, and no text is shuffled.
+    """
     known = labels.select(F.col("doc_id").alias("l_id"), F.col("quality").cast("int").alias("l_quality")).where(F.col("l_quality").isin(0, 1))
-    rows = docs.select(F.col("doc_id").alias("d_id"), F.col("text").alias("d_text")).where(~F.coalesce(holdout(F.col("doc_id")), F.lit(True)))
-    return CompressionQuality.fit(rows.join(known, F.col("d_id") == F.col("l_id")), "d_text", "l_quality", "d_id")
+    known = known.where(~F.coalesce(holdout(F.col("l_id")), F.lit(True))).distinct().withColumn("h", F.md5(F.col("l_id").cast("string")))
+    parts = [known.where((F.col("l_quality") == y) & (_half(F.col("h")) == half)).orderBy("h").limit(SAMPLE) for y in (0, 1) for half in (0, 1)]
+    sample = functools.reduce(DataFrame.unionByName, parts)
+    rows = docs.select(F.col("doc_id").alias("d_id"), F.col("text").alias("d_text"))
+    return CompressionQuality.fit(rows.join(F.broadcast(sample), F.col("d_id") == F.col("l_id")), "d_text", "l_quality", "d_id")
