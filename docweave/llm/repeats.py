@@ -164,7 +164,7 @@ def repeated_starts(df: DataFrame, length: int, text_col: str = "text") -> list[
     discard(contexts)
     now = keep(_contexts(open_, df, length, text_col))
     discard(open_)
-    for block in BLOCKS:
+    for block in (b for b in BLOCKS if 2 * b <= length):
         # done: the starts are known to repeat; they only serve others as partners
         cut = _blocks(now, length, block)
         cut = keep(cut if block > 1 else cut.drop("ctx"))
