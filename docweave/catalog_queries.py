@@ -598,6 +598,11 @@ def sse_events(spark, d):
     return A.sse(A.events(A.extractive_pieces(found), A.citations(found)))
 
 
+@query("""SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","none":null}' AS body FROM nation""")
+def json_rows(spark, d):
+    return A.json_rows(table(spark, d, "nation").select("n_nationkey", "n_name", F.lit(None).cast("string").alias("none")))
+
+
 # Evaluation.  A document is relevant to an item whose text it contains.
 
 _REL = "rel AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"

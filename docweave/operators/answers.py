@@ -69,3 +69,8 @@ def stream_generate(generator: Generator, system: str, user: str, cited: list[di
     for text, final in with_retries(lambda: generator(system, user)):
         if text or final:
             yield {"text": text, "is_final": final, "citations": cited if final else []}
+
+
+def json_rows(df: DataFrame) -> DataFrame:
+    """(body): each row as a JSON object, null fields included."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("body"))

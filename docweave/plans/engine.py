@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..logs import timed
 from ..operators import answers as A
 from ..operators import retrieval as R
 from ..operators.catalog import EmbeddingCache, HashRegistry, KnowledgeBases
@@ -69,7 +70,8 @@ class Engine:
 
     def ingest(self, paths: list[str], kb: str) -> DataFrame:
         self.kbs.get(kb)
-        return self.indexer.index(load_paths(self.spark, paths, kb), kb)
+        with timed("ingest", kb=kb, files=len(paths)):
+            return self.indexer.index(load_paths(self.spark, paths, kb), kb)
 
     def ingest_pages(self, pages: DataFrame, kb: str) -> DataFrame:
         self.kbs.get(kb)
