@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 from .common import Memo, discard, keep, map_rows, release, utf8
 from .components import components
 
-#: Coordinates of a signature; independent trees; levels taken at once from the root; looks at nodes, a level apart; classes of a small node at most.
-COORDINATES, TREES, START, DEPTH, SMALL = 64, 10, 2, 4, 48
+#: Coordinates of a signature; independent trees; levels taken at once from the root; looks at nodes, a level apart; classes of a small node at most; classes
+#: of a block of texts.
+COORDINATES, TREES, START, DEPTH, SMALL, BLOCK = 64, 10, 2, 4, 48, 96
 #: Words that a worker remembers the hash of.
 WORDS = 200_000
 #: A pair whose signatures agree in a lower share can't be above the threshold but with probability 1e-7 (five and a half deviations).
@@ -154,47 +155,61 @@ def alike(sig_a: bytes, sig_b: bytes, threshold: float) -> bool:
     return (np.frombuffer(sig_a, np.uint32) == np.frombuffer(sig_b, np.uint32)).mean() >= threshold - SLACK
 
 
-@functools.lru_cache(maxsize=32)
-def _lately(text: str, width: int) -> np.ndarray:
-    """Pairs arrive by pivot, so that a pivot's set is made once."""
-    return shingle_set(text, width)
-
-
-def linked(text_a: str, text_b: str, width: int, percent: int) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """The exact test on full sets."""
-    a, b = _lately(text_a, width), shingle_set(text_b, width)
     if min(len(a), len(b)) * 100 < max(len(a), len(b)) * percent:
         return False
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both) and both > 0
 
 
-def _confirm(pairs: DataFrame, active: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b), a < b, that are links; active: (cid, n, sig, text).  First sketches and sizes, then full sets."""
+def _sketched(pairs: DataFrame, active: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes and sketches allow a link."""
     slim = active.select("cid", "n", "sig")
-    left = slim.toDF("a", "n_a", "sig_a")
-    right = slim.toDF("b", "n_b", "sig_b")
-    sized = pairs.join(left, "a").join(right, "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    both = pairs.join(slim.toDF("a", "n_a", "sig_a"), "a").join(slim.toDF("b", "n_b", "sig_b"), "b")
+    sized = both.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
 
-    def sketch():
+    def make():
         def f(a, b, sa, sb):
             ok = [alike(x, y, percent / 100) for x, y in zip(sa, sb, strict=True)]
             return [x for x, k in zip(a, ok, strict=True) if k], [x for x, k in zip(b, ok, strict=True) if k]
 
         return f
 
-    likely = keep(map_rows(sized, ["a", "b", "sig_a", "sig_b"], "a long, b long", sketch))
+    return keep(map_rows(sized, ["a", "b", "sig_a", "sig_b"], "a long, b long", make))
 
-    def exact():
-        def f(a, b, ta, tb):
-            ok = [linked(x, y, width, percent) for x, y in zip(ta, tb, strict=True)]
-            return [x for x, k in zip(a, ok, strict=True) if k], [x for x, k in zip(b, ok, strict=True) if k]
+
+def _confirm(pairs: DataFrame, active: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b), a < b, that are links by their full sets; pairs: kept.
+
+    Classes that are compared with each other are dealt to blocks of about ``BLOCK``, by their smallest partner.  Pairs are grouped by their two
+    blocks, and each class's text is sent once to each group that needs it, not once a pair; a group makes each set once.
+    """
+    ends = pairs.select(F.col("a").alias("cid"), "b").unionByName(pairs.select(F.col("b").alias("cid"), F.col("a").alias("b")))
+    homes = ends.groupBy("cid").agg(F.min("b").alias("least")).select("cid", F.least("cid", "least").alias("home"))
+    sizes = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    placed = keep(homes.join(sizes, "home").select("cid", F.xxhash64("home", F.pmod(F.xxhash64("cid"), F.col("n"))).alias("block")))
+    dealt = keep(pairs.join(placed.toDF("a", "i"), "a").join(placed.toDF("b", "j"), "b"))
+    lists = dealt.groupBy("i", "j").agg(F.collect_list(F.struct("a", "b")).alias("p"))
+    members = dealt.select("i", "j", F.explode(F.array("a", "b")).alias("cid")).distinct().join(active.select("cid", "text"), "cid")
+    groups = members.groupBy("i", "j").agg(F.collect_list(F.struct("cid", "text")).alias("t")).join(lists, ["i", "j"])
+
+    def make():
+        def f(many, texts):
+            left, right = [], []
+            for group, members in zip(many, texts, strict=True):
+                sets = {m["cid"]: shingle_set(m["text"], width) for m in members}
+                for p in group:
+                    if linked(sets[p["a"]], sets[p["b"]], percent):
+                        left.append(p["a"])
+                        right.append(p["b"])
+            return left, right
 
         return f
 
-    texts = active.select("cid", "text")
-    whole = likely.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
-    return keep(map_rows(whole, ["a", "b", "text_a", "text_b"], "a long, b long", exact))
+    out = keep(map_rows(groups, ["p", "t"], "a long, b long", make))
+    discard(placed, dealt)
+    return out
 
 
 def _mixed(level: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -266,7 +281,8 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
         new = level.where("cid <> pivot").select("cid", "pivot").distinct()
         if depth:
             new = new.join(own, "cid", "left").join(other, "pivot", "left").where("coalesce(x, cid) <> coalesce(y, pivot)")
-        links.append(_confirm(new.select(F.col("pivot").alias("a"), F.col("cid").alias("b")), active, width, percent))
+        new = _sketched(new.select(F.col("pivot").alias("a"), F.col("cid").alias("b")), active, percent)
+        links.append(_confirm(new, active, width, percent))
         comp = keep(components(_union(links)))
         named, nodes = _mixed(level, comp)
         named, nodes = keep(named.join(nodes.select("node"), "node", "left_semi")), keep(nodes)
