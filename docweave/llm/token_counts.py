@@ -31,10 +31,10 @@ _cache: dict[tuple[str, str], Memo] = {}
 def _cut(counts: Counter, size: int) -> Counter:
     """The heavy hitters: the largest ``size`` counts, less the largest one dropped (as Misra and Gries subtract)."""
     if len(counts) <= size:
-        return counts
+        return Counter({k: v for k, v in counts.items() if len(k) <= LONGEST})
     top = counts.most_common(size + 1)
     base = top[-1][1]
-    return Counter({k: v - base for k, v in top[:-1] if v > base})
+    return Counter({k: v - base for k, v in top[:-1] if v > base and len(k) <= LONGEST})
 
 
 def _merged(a: Counter, b: Counter) -> Counter:
@@ -51,7 +51,7 @@ def frequent_pretokens(df: DataFrame, text: str, pattern: str, tokenizer_json: s
             nonlocal seen
             for t in texts:
                 if t:
-                    seen.update(x for x in split(t) if len(x) <= LONGEST)
+                    seen.update(split(t))
             if len(seen) > 2 * SUMMARY:
                 seen = _cut(seen, SUMMARY)
             return ([],)
@@ -80,36 +80,35 @@ def count_tokens(df: DataFrame, tokenizer_json: str, pattern: str, id_col: str =
         special = [x.content for x in tok.get_added_tokens_decoder().values()]
         cache = _cache.setdefault((tokenizer_json, pattern), Memo(CACHE))
 
-        def plain(text: str) -> int:
-            total, rest = 0, []
-            for piece in split(text):
-                n = known.get(piece)
-                if n is None:
-                    n = cache.get(piece)
-                    if n is None:
-                        rest.append(piece)
-                        continue
-                total += n
-            if rest:
-                new = list(dict.fromkeys(rest))
-                own = dict(zip(new, (len(e.ids) for e in tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-                total += sum(map(own.__getitem__, rest))
-                for k, v in own.items():
-                    if len(k) <= LONGEST:
-                        cache.put(k, v)
-            return total
-
-        def one(text: str) -> int:
-            found = [s for s in special if s in text]
+        def pieces_of(text: str) -> tuple[int, list[str]]:
+            """Special tokens in a text, and its pre-tokens."""
+            found = [x for x in special if x in text]
             if not found:
-                return plain(text)
+                return 0, split(text)
             if len(found) > 1:  # which one wins is the library's affair
-                return len(tok.encode(text, add_special_tokens=False).ids)
+                return len(tok.encode(text, add_special_tokens=False)), []
             parts = text.split(found[0])
-            return len(parts) - 1 + sum(map(plain, parts))
+            return len(parts) - 1, [p for part in parts for p in split(part)]
 
         def f(ids, texts):
-            counts = [one(t) if t else 0 for t in texts]
+            counts, open_ = [], []
+            for text in texts:
+                total, rest = pieces_of(text) if text else (0, [])
+                for tier in (known.get, cache.new.get, cache.get):
+                    sizes = list(map(tier, rest))
+                    if None not in sizes:
+                        total, rest = total + sum(sizes), []
+                        break
+                    total += sum(n for n in sizes if n is not None)
+                    rest = [p for p, n in zip(rest, sizes, strict=True) if n is None]
+                counts.append(total)
+                open_.append(rest)
+            new = list(dict.fromkeys(p for rest in open_ for p in rest))
+            own = dict(zip(new, map(len, tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+            for k, v in own.items():
+                if len(k) <= LONGEST:
+                    cache.put(k, v)
+            counts = [n + sum(map(own.__getitem__, rest)) for n, rest in zip(counts, open_, strict=True)]
             return ids, [len(utf8(t)) for t in texts], counts, [n > limit for n in counts]
 
         return f
