@@ -107,13 +107,14 @@ def keep(df: DataFrame) -> DataFrame:
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``keep`` has written, once nothing still to run reads them; then let go of shuffle files as well."""
+def discard(*tables: DataFrame, shuffles: bool = False) -> None:
+    """Delete tables that ``keep`` has written, once nothing still to run reads them; with ``shuffles`` let go of shuffle files as well."""
     for df in tables:
         spark = df.sparkSession
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._kept_at)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    release(tables[0].sparkSession)
+    if shuffles:
+        release(tables[0].sparkSession)
 
 
 def release(spark: SparkSession) -> None:

@@ -290,11 +290,11 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
         pairs = keep(_across(named, ready, active, threshold))
         links.append(_confirm(pairs, active, width, percent))
         large = named.join(nodes.join(ready.select("node"), "node", "left_anti").select("node"), "node", "left_semi")
-        discard(level)
+        discard(level, shuffles=True)
         if depth == DEPTH - 1 or large.isEmpty():
             break
         level = keep(_sized(_descend(large.select("node", "cid").join(active.select("cid", "sig"), "cid"), threshold, 1)))
-    discard(active, first)
+    discard(active, first, shuffles=True)
     final = keep(components(_union([*links, same])))
     named = signed.select("doc", "n_shingles").join(final, F.col("doc") == F.col("id"), "left")
     out = named.select("doc", "n_shingles", F.coalesce("component", "doc").alias("component_id"))

@@ -158,17 +158,17 @@ def repeated_starts(df: DataFrame, length: int, text_col: str = "text") -> list[
     contexts = keep(live.groupBy("core", "h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("key", "t", "lo", "hi")).alias("p")))
     twice = keep(contexts.where("n > 1").select("h1", "h2").distinct())
     found = [keep(live.join(twice, ["h1", "h2"], "left_semi").select("key", "lo", "hi").distinct())]
-    discard(live, names, twice)
+    discard(live, names, twice, shuffles=True)
     mixed = contexts.groupBy("core").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("core")
     open_ = keep(contexts.join(mixed, "core").select("p.*", (F.col("n") > 1).alias("done")))
-    discard(contexts)
+    discard(contexts, shuffles=True)
     now = keep(_contexts(open_, df, length, text_col))
-    discard(open_)
+    discard(open_, shuffles=True)
     for block in (b for b in BLOCKS if 2 * b <= length):
         # done: the starts are known to repeat; they only serve others as partners
         cut = _blocks(now, length, block)
         cut = keep(cut if block > 1 else cut.drop("ctx"))
-        discard(now)
+        discard(now, shuffles=True)
         slim = cut.drop("ctx") if block > 1 else cut
         names = keep(slim.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
         some = keep(slim.join(names, "core"))
@@ -181,7 +181,7 @@ def repeated_starts(df: DataFrame, length: int, text_col: str = "text") -> list[
             mixed = kinds.groupBy("core").agg(F.count("*").alias("kinds"), F.min(settled).alias("all")).where("kinds > 1 and not all").select("core")
             rest = kinds.join(mixed, "core").select("p.key", "p.t", "p.lo", "p.hi", settled.alias("settled"))
             now = keep(cut.drop("done").join(rest, ["key", "t", "lo", "hi"]).select("key", "t", "lo", "hi", F.col("settled").alias("done"), "ctx"))
-        discard(cut, kinds)
+        discard(cut, kinds, shuffles=True)
     return found
 
 
