@@ -10,7 +10,7 @@ a node of up to ``SMALL`` classes compares all of its classes; a larger one bran
 Every node, small or large, first compares its classes with one of them, the pivot: as many comparisons as
 classes.  What this confirms is gathered into components, and links inside one add nothing more.  So a node of one
 component is done; where few classes are outside a node's largest component, these are compared with all of it, block by
-block (so are nodes still large at the last level); only nodes of many components branch on.  A group of
+block (so are dense nodes and those still large at the last level); only other nodes branch on.  A group of
 many near copies then costs what it has members, and no candidate is dropped.
 Every link is confirmed on full sets: |A and B| * 100 >= |A or B| * percent.
 
@@ -18,7 +18,7 @@ Recall, simulated: ten trees miss a pair at the threshold (0.8 or 0.85) with pro
 at once, and 1e-3 where nodes are so full that three more are needed; pairs above the threshold are missed far less often.
 
 Defined results: null or empty texts, and such without words, have an empty set and no links; rows with a null doc_id take
-no part, and have component_id null and kept true; rows that share a doc_id share its component, and each is returned;
+no part, and have component_id null and kept true; rows that share a doc_id link their texts, and each is returned;
 an empty table gives an empty table; other columns are not read.
 """
 
@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from .common import Memo, discard, keep, map_rows, release, utf8
 from .components import components
 
-#: Coordinates of a signature; independent trees; levels taken at once from the root; looks at nodes, a level apart; classes of a small node at most; classes
-#: of a block of texts.
-COORDINATES, TREES, START, DEPTH, SMALL, BLOCK = 64, 10, 2, 4, 48, 96
+#: Coordinates of a signature; independent trees; levels taken at once from the root; looks at nodes, a level apart; classes of a small node at
+#: most; classes of a block of texts, and of a block of sketches; hashes of a bottom sketch.
+COORDINATES, TREES, START, DEPTH, SMALL, BLOCK, SKETCHES, BOTTOM = 64, 10, 2, 4, 48, 96, 1024, 256
 #: Words that a worker remembers the hash of.
 WORDS = 200_000
 #: A pair whose signatures agree in a lower share can't be above the threshold but with probability 1e-7 (five and a half deviations).
@@ -91,15 +91,60 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return best
 
 
-def chosen(node: int, threshold: float) -> list[int]:
-    """The coordinates that a node branches on: one, or (so often that the mean is 1/threshold) two."""
-    rng = np.random.default_rng(node & 0xFFFFFFFFFFFFFFFF)
-    n = int(1 / threshold) + (rng.random() < 1 / threshold % 1)
-    return rng.choice(COORDINATES, n, replace=False).tolist()
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit words that spreads each bit over all."""
+    x = x ^ (x >> _U(30))
+    x = x * _U(0xBF58476D1CE4E5B9)
+    x ^= x >> _U(27)
+    x *= _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
 
 
-def _child(node: int, coordinate: int, value: int) -> int:
-    return xxhash.xxh3_64_intdigest(b"%d/%d/%d" % (node, coordinate, value)) - 2**63
+def _roots() -> np.ndarray:
+    return _mix(np.arange(1, TREES + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
+
+
+def branch(nodes: np.ndarray, who: np.ndarray, sigs: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Children of nodes for the classes there (rows of sigs).
+
+    A node chooses one coordinate or, so often that the mean is 1/threshold, two; a child is named by node, coordinate and the MinHash there.
+    """
+    h = _mix(nodes + _U(0x632BE59BD9B4E019))
+    first = (h % _U(COORDINATES)).astype(np.int64)
+    second = (first + 1 + ((h >> _U(24)) % _U(COORDINATES - 1)).astype(np.int64)) % COORDINATES
+    two = ((h >> _U(8)) & _U(0xFFFF)).astype(np.float64) < (1 / threshold - 1) * 65536
+
+    def child(pick: np.ndarray, coordinate: np.ndarray) -> np.ndarray:
+        name = (coordinate[pick].astype(np.uint64) << _U(32)) | sigs[who[pick], coordinate[pick]].astype(np.uint64)
+        return _mix(nodes[pick] ^ _mix(name + _U(0x9E3779B97F4A7C15)))
+
+    all_, some = np.arange(len(nodes)), np.flatnonzero(two)
+    return np.concatenate((child(all_, first), child(some, second))), np.concatenate((who, who[some]))
+
+
+def _stacked(sigs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs), np.uint32).reshape(len(sigs), COORDINATES)
+
+
+def bottom(shingles: np.ndarray) -> bytes:
+    """The smallest hashes of a set, 32 bits each: all of a small set, a uniform sample of a large one."""
+    return (shingles[:BOTTOM] >> _U(32)).astype(np.uint32).tobytes()
+
+
+def bottom_alike(own: np.ndarray, own_n: int, others: list[np.ndarray], sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """For each other set: False only where the smallest hashes rule a link out (certain for small sets, five deviations for samples)."""
+    top = np.uint32(0xFFFFFFFF)
+    reach = np.array([x[-1] if n > BOTTOM else top for x, n in zip(others, sizes, strict=True)], np.uint32)
+    if own_n > BOTTOM:
+        reach = np.minimum(reach, own[-1])
+    values, lengths = np.concatenate(others), np.array([len(x) for x in others])
+    owner = np.repeat(np.arange(len(others)), lengths)
+    inside = values <= reach[owner]
+    at = np.minimum(np.searchsorted(own, values), len(own) - 1)
+    both = np.bincount(owner[inside & (own[at] == values)], minlength=len(others))
+    union = np.bincount(owner[inside], minlength=len(others)) + np.searchsorted(own, reach, side="right") - both
+    margin = np.where((sizes > BOTTOM) | (own_n > BOTTOM), 0.12, 0.01)
+    return both >= (threshold - margin) * union
 
 
 def signatures(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,21 +165,15 @@ def _descend(level: DataFrame, threshold: float, steps: int, roots: bool = False
     """(node, cid) some levels further down, from rows (node, cid, sig); with ``roots`` from rows (cid, sig) at the root of each tree."""
 
     def make():
-        branches = functools.lru_cache(100_000)(lambda node: chosen(node, threshold))
-
-        def down(nodes, values):
-            for _ in range(steps):
-                nodes = [_child(n, c, int(values[c])) for n in nodes for c in branches(n)]
-            return nodes
-
         def f(*columns):
-            out, who = [], []
-            for row in zip(*columns, strict=True):
-                start, cid, sig = ([-t - 1 for t in range(TREES)], *row) if roots else ([row[0]], *row[1:])
-                found = down(start, np.frombuffer(sig, np.uint32))
-                out += found
-                who += [cid] * len(found)
-            return out, who
+            cids, sigs = np.array(columns[-2]), _stacked(columns[-1])
+            who = np.arange(len(cids))
+            nodes = np.array(columns[0], np.int64).view(np.uint64)
+            if roots:
+                nodes, who = np.tile(_roots(), len(cids)), np.repeat(who, TREES)
+            for _ in range(steps):
+                nodes, who = branch(nodes, who, sigs, threshold)
+            return nodes.view(np.int64), cids[who]
 
         return f
 
@@ -146,6 +185,7 @@ def _sized(members: DataFrame) -> DataFrame:
 
     Sizes are kept as a table of their own, so that in the join Spark can split a node that very many classes share.
     """
+    members = keep(members)
     sizes = keep(members.groupBy("node").agg(F.count("*").alias("size"), F.min("cid").alias("pivot")).where("size > 1"))
     return members.join(sizes, "node")
 
@@ -163,6 +203,15 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both) and both > 0
 
 
+def _with_bottoms(texts: DataFrame, width: int) -> DataFrame:
+    """(cid, n, sig, text, low): classes with the smallest hashes of their sets."""
+
+    def make():
+        return lambda cids, ns, sigs, texts: (cids, ns, sigs, texts, [bottom(shingle_set(t, width)) for t in texts])
+
+    return map_rows(texts, ["cid", "n", "sig", "text"], "cid long, n long, sig binary, text string, low binary", make)
+
+
 def _sketched(pairs: DataFrame, active: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sizes and sketches allow a link."""
     slim = active.select("cid", "n", "sig")
@@ -220,40 +269,49 @@ def _mixed(level: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
     return named, nodes.select("node", "size", F.col("top.comp").alias("major"), (F.col("size") - F.col("top.c")).alias("minor"))
 
 
-def _across(named: DataFrame, nodes: DataFrame, classes: DataFrame, threshold: float, block: int = SMALL) -> DataFrame:
+def _across(named: DataFrame, nodes: DataFrame, active: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of classes of a node that are in different components and whose sketches allow a link.
 
     The classes outside the node's largest component seek partners among all.  Seekers and partners are cut into blocks of about
-    ``block``; each pair of blocks is a group of its own, so no task holds more than two blocks at once.
+    ``SKETCHES``; each pair of blocks is a group of its own, so no task holds more than two blocks of sketches at once.  A pair that
+    meets in several of these nodes is looked at in the one with the smallest name only.
     """
-    cut = nodes.select("node", "major", F.ceil(F.col("size") / block).cast("int").alias("bt"), F.ceil(F.col("minor") / block).cast("int").alias("bs"))
+    cut = nodes.select("node", "major", F.ceil(F.col("size") / SKETCHES).cast("int").alias("bt"), F.ceil(F.col("minor") / SKETCHES).cast("int").alias("bs"))
     rows = named.join(cut, "node")
     partners = rows.select("node", F.pmod(F.xxhash64("cid"), F.col("bt")).cast("int").alias("t"), F.explode(F.expr("sequence(0, bs - 1)")).alias("s"), "cid", "comp", F.lit(False).alias("seeks"))
     seekers = rows.where("comp <> major").select("node", F.explode(F.expr("sequence(0, bt - 1)")).alias("t"), F.pmod(F.xxhash64("cid", F.lit(1)), F.col("bs")).cast("int").alias("s"), "cid", "comp", F.lit(True).alias("seeks"))
-    signed = partners.unionByName(seekers).join(classes.select("cid", "n", "sig"), "cid")
-    grouped = signed.groupBy("node", "t", "s").agg(F.collect_list(F.struct("cid", "comp", "seeks", "n", "sig")).alias("m"))
+    at = rows.groupBy("cid").agg(F.collect_set("node").alias("at"))
+    signed = partners.unionByName(seekers).join(active.select("cid", "n", "sig", "low"), "cid").join(at, "cid")
+    grouped = signed.groupBy("node", "t", "s").agg(F.collect_list(F.struct("cid", "comp", "seeks", "n", "sig", "low", "at")).alias("m"))
 
     def make():
-        def f(groups):
+        def f(names, groups):
             left, right = [], []
-            for m in groups:
+            for name, m in zip(names, groups, strict=True):
                 ask, have = [x for x in m if x["seeks"]], [x for x in m if not x["seeks"]]
                 if not ask or not have:
                     continue
-                sigs = np.stack([np.frombuffer(x["sig"], np.uint32) for x in have])
-                comps, sizes = np.array([x["comp"] for x in have]), np.array([x["n"] for x in have])
-                for x in ask:
-                    near = (sigs == np.frombuffer(x["sig"], np.uint32)).mean(1) >= threshold - SLACK
-                    fits = np.minimum(sizes, x["n"]) >= threshold * np.maximum(sizes, x["n"]) - 1e-9
-                    for i in np.flatnonzero(near & fits & (comps != x["comp"])):
-                        y = have[i]["cid"]
-                        left.append(min(x["cid"], y))
-                        right.append(max(x["cid"], y))
+                sigs, asked = _stacked([x["sig"] for x in have]), _stacked([x["sig"] for x in ask])
+                before = [[v for v in x["at"] if v < name] for x in have]
+                lesser = np.full((len(have), max(map(len, before))), name)
+                for row, values in zip(lesser, before, strict=True):
+                    row[: len(values)] = values
+                comps, sizes, ids = (np.array([x[k] for x in have]) for k in ("comp", "n", "cid"))
+                lows = [np.frombuffer(x["low"], np.uint32) for x in have]
+                for i, x in enumerate(ask):
+                    near = (sigs == asked[i]).mean(1) >= threshold - SLACK
+                    near &= (np.minimum(sizes, x["n"]) >= threshold * np.maximum(sizes, x["n"]) - 1e-9) & (comps != x["comp"])
+                    some = np.flatnonzero(near)
+                    some = some[~np.isin(lesser[some], [v for v in x["at"] if v < name]).any(1)]
+                    if len(some):
+                        some = some[bottom_alike(np.frombuffer(x["low"], np.uint32), x["n"], [lows[k] for k in some], sizes[some], threshold)]
+                        left += np.minimum(ids[some], x["cid"]).tolist()
+                        right += np.maximum(ids[some], x["cid"]).tolist()
             return left, right
 
         return f
 
-    return map_rows(grouped, ["m"], "a long, b long", make).distinct()
+    return map_rows(grouped, ["node", "m"], "a long, b long", make).distinct()
 
 
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,14 +324,11 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     signed = keep(signatures(docs, width, "doc", "text"))
     some = signed.where("n_shingles > 0 and doc is not null")
     classes = keep(some.groupBy("set_hash").agg(F.min("doc").alias("cid"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
-    # Documents of a class are linked to it by its smallest id.  Rows that share an id may be in several classes, which it then links.
-    same = some.select("doc", "set_hash").join(classes.select("set_hash", "cid"), "set_hash").where("doc <> cid").select(F.col("doc").alias("a"), F.col("cid").alias("b"))
-    first = keep(classes.groupBy("cid").agg(F.first("n").alias("n"), F.first("sig").alias("sig")))  # an id with several texts: any one
-
-    level = keep(_sized(_descend(first, threshold, START, roots=True)))
+    level = keep(_sized(_descend(classes, threshold, START, roots=True)))
     wanted = level.select("cid").distinct()
     texts = docs.where("doc is not null").join(wanted, F.col("doc") == F.col("cid")).groupBy("cid").agg(F.min("text").alias("text"))
-    active = keep(texts.join(first, "cid").select("cid", "n", "sig", "text"))
+    one = classes.groupBy("cid").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))  # an id with several texts: any one
+    active = keep(_with_bottoms(texts.join(one, "cid"), width))
     release(df.sparkSession)
     links, comp = [], df.sparkSession.createDataFrame([], "id long, component long")
     for depth in range(DEPTH):
@@ -283,21 +338,32 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
             new = new.join(own, "cid", "left").join(other, "pivot", "left").where("coalesce(x, cid) <> coalesce(y, pivot)")
         new = _sketched(new.select(F.col("pivot").alias("a"), F.col("cid").alias("b")), active, percent)
         links.append(_confirm(new, active, width, percent))
+        discard(new)
         comp = keep(components(_union(links)))
         named, nodes = _mixed(level, comp)
         named, nodes = keep(named.join(nodes.select("node"), "node", "left_semi")), keep(nodes)
-        ready = nodes if depth == DEPTH - 1 else nodes.where((F.col("size") <= SMALL) | (F.col("minor") <= SMALL))
+        # Where a quarter is one component, texts are too alike for branching to part them.
+        dense = (F.col("minor") <= SMALL) | (F.col("minor") <= 0.75 * F.col("size"))
+        ready = nodes if depth == DEPTH - 1 else nodes.where((F.col("size") <= SMALL) | dense)
         pairs = keep(_across(named, ready, active, threshold))
-        links.append(_confirm(pairs, active, width, percent))
+        if fresh := not pairs.isEmpty():
+            links.append(_confirm(pairs, active, width, percent))
         large = named.join(nodes.join(ready.select("node"), "node", "left_anti").select("node"), "node", "left_semi")
         discard(level, shuffles=True)
         if depth == DEPTH - 1 or large.isEmpty():
             break
         level = keep(_sized(_descend(large.select("node", "cid").join(active.select("cid", "sig"), "cid"), threshold, 1)))
-    discard(active, first, shuffles=True)
-    final = keep(components(_union([*links, same])))
-    named = signed.select("doc", "n_shingles").join(final, F.col("doc") == F.col("id"), "left")
-    out = named.select("doc", "n_shingles", F.coalesce("component", "doc").alias("component_id"))
+    discard(active, shuffles=True)
+    # Rows that share an id may be in several classes, which it links.
+    own = some.select("doc", "set_hash").join(classes.select("set_hash", "cid"), "set_hash").select("doc", "cid")
+    several = keep(own.groupBy("doc").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a <> z").select("doc", "a"))
+    if not several.isEmpty():
+        links.append(own.join(several, "doc").where("cid <> a").select("a", F.col("cid").alias("b")))
+        fresh = True
+    final = keep(components(_union(links))) if fresh else comp
+    named = signed.select("doc", "n_shingles", "set_hash").join(classes.select("set_hash", "cid"), "set_hash", "left").join(final, F.col("cid") == F.col("id"), "left")
+    component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "cid", "doc"))
+    out = named.select("doc", "n_shingles", component.alias("component_id"))
     kept = F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True))
     return out.select(F.col("doc").alias(id_col), "n_shingles", "component_id", kept.alias("kept"))
 
