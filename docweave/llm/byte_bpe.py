@@ -26,7 +26,7 @@ from .common import Memo, map_rows, utf8
 from .pretokens import Splitter
 
 #: Pre-tokens that a worker remembers, pairs of tokens whose fit it remembers, and the longest remembered pre-token.
-CACHE, PAIRS, LONGEST = 200_000, 200_000, 64
+CACHE, PAIRS, LONGEST = 400_000, 200_000, 64
 #: No token.
 _none = -1
 
@@ -38,16 +38,20 @@ class ByteBPE:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.ranks = ranks
-        self.bytes = dict(sorted((v, k) for k, v in ranks.items()))
-        self.size = {i: len(b) for i, b in self.bytes.items()}
+        self.ids = len(ranks)
+        self.bytes = [b for b, _ in sorted(ranks.items(), key=lambda x: x[1])]
+        if sorted(ranks.values()) != list(range(self.ids)):
+            raise ValueError("ranks run from 0 without gaps")
+        self.size = [len(b) for b in self.bytes]
         self.scan = ahocorasick.Automaton()
         for b, i in ranks.items():
             self.scan.add_word(b.decode("latin-1"), i)
         self.scan.make_automaton()
-        self.fits_memo, self.memo = Memo(PAIRS), Memo(CACHE)
+        self.pairs: dict[int, bool] = {}
+        self.memo = Memo(CACHE)
         #: The longest token that is a proper prefix of a token; -1: none.
-        self.shorter: dict[int, int] = {}
-        for i, b in self.bytes.items():
+        self.shorter = [_none] * self.ids
+        for i, b in enumerate(self.bytes):
             cut = len(b) - 1
             while cut > 0 and b[:cut] not in ranks:
                 cut -= 1
@@ -55,7 +59,7 @@ class ByteBPE:
         #: The two tokens whose merge makes a token, and the merge made by two tokens.  A single byte is its own parts.
         self.parts: dict[int, tuple[int, int]] = {}
         self.merge: dict[tuple[int, int], int] = {}
-        for i, b in self.bytes.items():  # by rank: parts come before what they make
+        for i, b in enumerate(self.bytes):  # by rank: parts come before what they make
             self.parts[i] = (i, i)
             left = self.shorter[i]
             while left != _none:
@@ -89,12 +93,11 @@ class ByteBPE:
             else:
                 return True
 
-    def fits(self, a: int, b: int) -> bool:
-        pair = a << 32 | b
-        found = self.fits_memo.get(pair)
-        if found is None:
-            found = self._keeps(a, b)
-            self.fits_memo.put(pair, found)
+    def _fits(self, pair: int) -> bool:
+        """``_keeps`` for a pair that isn't remembered, packed as a * ids + b."""
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        found = self.pairs[pair] = self._keeps(*divmod(pair, self.ids))
         return found
 
     def encode_piece(self, data: bytes) -> list[int]:
@@ -102,42 +105,47 @@ class ByteBPE:
         whole = self.ranks.get(data)
         if whole is not None or not data:
             return [whole] if data else []
-        n, longest = len(data), [_none] * len(data)
-        size = self.size
+        n, size, ids, pairs, shorter = len(data), self.size, self.ids, self.pairs, self.shorter
+        longest = [_none] * n
         for end, i in self.scan.iter(data.decode("latin-1")):
-            at = end + 1 - size[i]
-            old = longest[at]
-            if old == _none or size[i] > size[old]:
-                longest[at] = i
+            longest[end + 1 - size[i]] = i  # ends come in order, so the last one from a start is the longest
         out: list[int] = []
         dead = bytearray(n + 1)
-        at, now = 0, longest[0]
+        at, now, base = 0, longest[0], _none
         while at < n:
-            last = out[-1] if out else _none
-            while now != _none and (dead[at + size[now]] or last != _none and not self.fits(last, now)):
-                now = self.shorter[now]
+            while now != _none:
+                if not dead[at + size[now]]:
+                    if base < 0:
+                        break
+                    ok = pairs.get(base + now)
+                    if self._fits(base + now) if ok is None else ok:
+                        break
+                now = shorter[now]
             if now != _none:
                 out.append(now)
                 at += size[now]
+                base = now * ids
                 now = longest[at] if at < n else _none
             else:
                 dead[at] = 1
                 last = out.pop()
                 at -= size[last]
-                now = self.shorter[last]
+                base = out[-1] * ids if out else _none
+                now = shorter[last]
         return out
 
     def encode_bytes(self, pieces: list[str]) -> bytes:
         """Ids of pre-tokens, as little-endian unsigned 32-bit integers."""
-        memo, out = self.memo, []
-        for p in pieces:
-            ids = memo.new.get(p) or memo.get(p)
-            if ids is None:
-                found = self.encode_piece(utf8(p))
-                ids = struct.pack(f"<{len(found)}I", *found)
-                if len(p) <= LONGEST:
-                    memo.put(p, ids)
-            out.append(ids)
+        memo = self.memo
+        out = list(map(memo.new.get, pieces))
+        if None in out:
+            for k, ids in enumerate(out):
+                if ids is None and (ids := memo.get(pieces[k])) is None:
+                    found = self.encode_piece(utf8(pieces[k]))
+                    ids = struct.pack(f"<{len(found)}I", *found)
+                    if len(pieces[k]) <= LONGEST:
+                        memo.put(pieces[k], ids)
+                out[k] = ids
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
