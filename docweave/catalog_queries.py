@@ -430,7 +430,7 @@ def minmax_norm(spark, d):
 
 _DENSE = f"""tb AS (SELECT doc_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS k, sum(tf)::DOUBLE AS c FROM post GROUP BY ALL), tn AS (SELECT doc_id, sqrt(sum(c * c)) AS z FROM tb GROUP BY doc_id),
 qb AS (SELECT query_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS k, sum(qf)::DOUBLE AS c FROM qt GROUP BY ALL), qn AS (SELECT query_id, sqrt(sum(c * c)) AS z FROM qb GROUP BY query_id),
-de AS (SELECT query_id, doc_id, round(sum(tb.c * qb.c) / (any_value(tn.z) * any_value(qn.z)), 9) AS score FROM tb JOIN qb USING (k) JOIN tn USING (doc_id) JOIN qn USING (query_id) GROUP BY query_id, doc_id)"""
+de AS (SELECT query_id, doc_id, sum(tb.c * qb.c) / (any_value(tn.z) * any_value(qn.z)) AS score FROM tb JOIN qb USING (k) JOIN tn USING (doc_id) JOIN qn USING (query_id) GROUP BY query_id, doc_id)"""
 _SIDES = f"{_POST}, {_ASK}, {_SPARSE}, {_DENSE}, {_top_sql('de', 20, 'dt')}, {_top_sql('sc', 20, 'sp0')}, sp AS (SELECT * FROM sp0 WHERE score > 0)"
 _FUSED = """mm AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS d FROM dt WINDOW w AS (PARTITION BY query_id)),
 ms AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS s FROM sp WINDOW w AS (PARTITION BY query_id)),
