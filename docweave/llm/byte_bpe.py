@@ -22,11 +22,11 @@ import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import Memo, map_rows, utf8
+from .common import Memo, hold, map_rows, utf8
 from .pretokens import Splitter
 
 #: Pre-tokens that a worker remembers, pairs of tokens whose fit it remembers, and the longest remembered pre-token.
-CACHE, PAIRS, LONGEST = 400_000, 200_000, 64
+CACHE, PAIRS, LONGEST = 250_000, 200_000, 64
 #: No token.
 _none = -1
 
@@ -161,6 +161,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, tokenizer_json: str, id
     """(id, ids binary): each text's ids as little-endian unsigned 32-bit integers."""
 
     def make():
+        hold("byte_bpe", coder.cache_clear)
         bpe, split = coder(ranks_path), Splitter(pattern, tokenizer_json)
         return lambda ids, texts: (ids, [bpe.encode_bytes(split(t)) if t else b"" for t in texts])
 
@@ -171,6 +172,7 @@ def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataFrame:
     """(id, text binary): the bytes that the ids stand for."""
 
     def make():
+        hold("byte_bpe", coder.cache_clear)
         bpe = coder(ranks_path)
         return lambda ids, coded: (ids, [bpe.decode(x or b"") for x in coded])
 
@@ -181,6 +183,7 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, tokenizer_json: str
     """(id, n_tokens, ids_sha256, decoded_sha256): encode, then decode the ids, in one pass."""
 
     def make():
+        hold("byte_bpe", coder.cache_clear)
         bpe, split = coder(ranks_path), Splitter(pattern, tokenizer_json)
 
         def f(ids, texts):
@@ -202,6 +205,7 @@ def encode_checked(df: DataFrame, ranks_path: str, pattern: str, tokenizer_json:
     """(id, n_tokens, ids_sha256, decoded_sha256, ids) of each row; ids as array<int>.  The digest of the decoded ids is that of the text."""
 
     def make():
+        hold("byte_bpe", coder.cache_clear)
         bpe, split = coder(ranks_path), Splitter(pattern, tokenizer_json)
 
         def f(ids, texts):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,9 +14,26 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Rows turned into Python objects at once; an Arrow batch may hold far more.
-SLICE_ROWS = 256
+SLICE_ROWS = 128
 #: Bytes of an Arrow batch.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+
+
+_holder: list = ["", lambda: None]
+
+
+def hold(operator: str, clear: Callable[[], object]) -> None:
+    """Say that this worker's caches are one operator's; those of the operator that ran in it before are dropped.  Workers outlive tasks."""
+    if _holder[0] != operator:
+        _holder[1]()
+        _holder[:] = operator, clear
+
+
+def give_back() -> None:
+    """Return memory that a task has freed to the system, since a worker waits for its next task with all it has."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not everywhere
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 class Memo:
@@ -23,6 +42,9 @@ class Memo:
     def __init__(self, size: int):
         self.half, self.new, self.old = size // 2, {}, {}
 
+    def clear(self):
+        self.new, self.old = {}, {}
+
     def get(self, key):
         found = self.new.get(key)
         if found is None and (found := self.old.get(key)) is not None:
@@ -75,6 +97,7 @@ def map_rows(df: DataFrame, columns: list[str], schema: str | StructType, make:
             out = f.finish()
             if len(out[0]):
                 yield packed(out)
+        give_back()
 
     return df.select(*columns).mapInArrow(run, struct)
 

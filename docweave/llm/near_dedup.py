@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, discard, keep, map_rows, release, utf8
+from .common import Memo, discard, hold, keep, map_rows, release, utf8
 from .components import components
 
 #: Coordinates of a signature; independent trees; levels taken at once from the root; looks at nodes, a level apart; classes of a small node at
@@ -151,6 +151,8 @@ def signatures(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str
     """(id, n_shingles, set_hash, sig) of each row."""
 
     def make():
+        hold("near_dedup", _words.clear)
+
         def f(ids, texts):
             sets = [shingle_set(t, width) for t in texts]
             return ids, [len(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [signature(s).tobytes() if len(s) else None for s in sets]

@@ -17,7 +17,7 @@ from collections import Counter
 
 from pyspark.sql import DataFrame
 
-from .common import Memo, map_rows, utf8
+from .common import Memo, hold, map_rows, utf8
 from .pretokens import Splitter, library
 
 #: Entries of the broadcast table (a few hundred kB), of a task's summary while it counts, and of a worker's cache.
@@ -75,6 +75,7 @@ def count_tokens(df: DataFrame, tokenizer_json: str, pattern: str, id_col: str =
     table = spark.sparkContext.broadcast(dict(zip(common, lengths, strict=True)))
 
     def make():
+        hold("token_counts", _cache.clear)
         tok = library(tokenizer_json)
         split, known = Splitter(pattern, tokenizer_json), table.value
         special = [x.content for x in tok.get_added_tokens_decoder().values()]
