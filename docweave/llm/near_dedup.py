@@ -343,7 +343,8 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
         discard(new)
         comp = keep(components(_union(links)))
         named, nodes = _mixed(level, comp)
-        named, nodes = keep(named.join(nodes.select("node"), "node", "left_semi")), keep(nodes)
+        nodes = keep(nodes)
+        named = keep(named.join(nodes.select("node"), "node", "left_semi"))
         # Where a quarter is one component, texts are too alike for branching to part them.
         dense = (F.col("minor") <= SMALL) | (F.col("minor") <= 0.75 * F.col("size"))
         ready = nodes if depth == DEPTH - 1 else nodes.where((F.col("size") <= SMALL) | dense)
