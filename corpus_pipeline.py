@@ -31,8 +31,8 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 400 bytes or more that occur again; documents of which nothing is left go."""
-    return repeats.without_repeats(docs, 400).where(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)
+    """Texts without passages of 400 bytes or more, or of over 50 words, that occur again; documents of which nothing is left go."""
+    return repeats.without_repeats(docs, 400, words=51).where(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,13 +20,18 @@ by prefix-free parsing, equal strings are found by combining names of the two pa
 A name is a hash of 64 bits where a clash only costs work, and of 128 bits where it decides.  "Corpus order" is a shuffle by name, since
 only equality of neighbours counts here; a total order would need a range sort and gives nothing more.
 
+Passages of a number of words are found by the same parse: each word is put as a code of ``CODE`` bytes, so ``words`` words are a string of fixed
+length however short they are.  Only starts at a word count.
+
 Defined results: null and empty texts have no bytes; texts shorter than ``length`` keep all; each row is a document, so
 repeated rows remove each other's repeats; matches never cross documents; an empty table gives an empty table; other columns stay.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +44,10 @@ from .common import discard, keep, map_rows, utf8
 
 #: Bytes of the rolling hash, starts parsed at once, block sizes of the refinement.
 WINDOW, CHUNK, BLOCKS = 8, 1 << 22, (32, 4, 1)
+#: Bytes that stand for a word: a sign of its own, so that codes match at words only, and 42 bits of a hash.
+CODE = 8
+#: A word: what is between ASCII white space, without ASCII signs at its ends.
+_WORD = re.compile(rb"[^\s!-/:-@\[-`{-~](?:\S*[^\s!-/:-@\[-`{-~])?")
 _U = np.uint64
 
 
@@ -201,6 +210,29 @@ def spans(ranges, length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def coded(data: bytes) -> str:
+    """The words of a text as codes of ``CODE`` characters, one after the other."""
+    return "".join("." + base64.b64encode(xxhash.xxh3_64_digest(w)[:6])[: CODE - 1].decode() for w in _WORD.findall(data))
+
+
+def word_spans(data: bytes, ranges, words: int) -> list[tuple[int, int]]:
+    """Runs [a, b) of bytes from the first to the last word of passages whose codes start in the given ranges."""
+    at = [m.span() for m in _WORD.finditer(data)]
+    found = ((-(-(r >> _SHIFT) // CODE), (r & 0xFFFFFFFF) // CODE) for r in ranges)
+    return [(at[lo][0], at[hi + words - 1][1]) for lo, hi in found if lo <= hi]
+
+
+def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs of bytes that some of the given runs cover."""
+    out: list[list[int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
 def kept_bytes(data: bytes, removed: list[tuple[int, int]]) -> bytes:
     parts, at = [], 0
     for a, b in removed:
@@ -210,15 +242,44 @@ def kept_bytes(data: bytes, removed: list[tuple[int, int]]) -> bytes:
     return b"".join(parts)
 
 
-def with_repeats(df: DataFrame, length: int = 400, text_col: str = "text", out_col: str = "__repeats") -> DataFrame:
-    """df with a column of start ranges (array<long>, each first << 32 | last; null where nothing repeats)."""
+def _ranges(df: DataFrame, length: int, text_col: str, key: str, out: str) -> DataFrame:
+    """(key, out) of texts with repeats: the start ranges, each first << 32 | last."""
     first, *rest = repeated_starts(df, length, text_col)
     for x in rest:
         first = first.unionByName(x)
-    packed = first.select(F.col("key").alias(f"{out_col}_key"), F.shiftleft("lo", _SHIFT).bitwiseOR(F.col("hi")).alias("r"))
-    ranges = packed.groupBy(f"{out_col}_key").agg(F.collect_set("r").alias(out_col))
+    packed = first.select(F.col("key").alias(key), F.shiftleft("lo", _SHIFT).bitwiseOR(F.col("hi")).alias("r"))
+    return packed.groupBy(key).agg(F.collect_set("r").alias(out))
+
+
+def with_repeats(df: DataFrame, length: int = 400, text_col: str = "text", out_col: str = "__repeats", words: int | None = None) -> DataFrame:
+    """df with a column of start ranges (array<long>, each first << 32 | last; null where nothing repeats).
+
+    With ``words`` also ``out_col``_words, ranges of the coded text for passages of so many words.
+    """
+    key = f"{out_col}_key"
+    ranges = _ranges(df, length, text_col, key, out_col)
+    if words:
+        ranges = ranges.join(_word_ranges(df, words, text_col, key, f"{out_col}_words"), key, "full")
     keyed = df.withColumn(f"{out_col}_own", text_key(F.col(text_col)))
-    return keyed.join(ranges, F.col(f"{out_col}_own") == F.col(f"{out_col}_key"), "left").drop(f"{out_col}_own", f"{out_col}_key")
+    return keyed.join(ranges, F.col(f"{out_col}_own") == F.col(key), "left").drop(f"{out_col}_own", key)
+
+
+def _word_ranges(df: DataFrame, words: int, text_col: str, key: str, out: str) -> DataFrame:
+    """(key, out) of texts with passages of so many words that occur again: the start ranges in the coded text."""
+
+    def make():
+        def f(texts):
+            rows = [(hashlib.md5(data).digest(), code) for data in map(utf8, texts) if len(code := coded(data)) >= words * CODE]
+            return list(zip(*rows, strict=True)) if rows else [[]] * 2
+
+        return f
+
+    codes = keep(map_rows(df, [text_col], "own binary, code string", make))
+    ranges = _ranges(codes, words * CODE, "code", "code_key", out)
+    owners = codes.select(F.col("own").alias(key), text_key(F.col("code")).alias("code_key")).distinct()
+    found = keep(owners.join(ranges, "code_key").select(key, out))
+    discard(codes, shuffles=True)
+    return found
 
 
 def digest(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,18 +303,26 @@ def digest(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: s
     return map_rows(with_repeats(slim, length, text_col), [id_col, text_col, "__repeats"], f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string", make)
 
 
-def without_repeats(df: DataFrame, length: int = 400, text_col: str = "text") -> DataFrame:
-    """df with repeats cut out of its text; characters that a cut has split are dropped."""
+def without_repeats(df: DataFrame, length: int = 400, text_col: str = "text", words: int | None = None) -> DataFrame:
+    """df with repeats cut out of its text; characters that a cut has split are dropped.
+
+    With ``words``, passages of so many words or more that occur again go as well, however few bytes they have.
+    """
 
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, ranges: pd.Series) -> pd.Series:
+    def cut(texts: pd.Series, ranges: pd.Series, word_ranges: pd.Series) -> pd.Series:
         out = []
-        for text, r in zip(texts, ranges, strict=True):
-            if text is None or r is None or not len(r):
+        for text, r, w in zip(texts, ranges, word_ranges, strict=True):
+            if text is None or (r is None and w is None):
                 out.append(text)
             else:
-                out.append(kept_bytes(utf8(text), spans(r.tolist(), length)).decode("utf-8", "ignore"))
+                data = utf8(text)
+                runs = spans(r.tolist(), length) if r is not None else []
+                if w is not None:
+                    runs = merged(runs + word_spans(data, w.tolist(), words))
+                out.append(kept_bytes(data, runs).decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
-    marked = with_repeats(df, length, text_col)
-    return marked.select(*(cut(F.col(text_col), F.col("__repeats")).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns))
+    marked = with_repeats(df, length, text_col, words=words)
+    by_words = F.col("__repeats_words") if words else F.lit(None).cast("array<long>")
+    return marked.select(*(cut(F.col(text_col), F.col("__repeats"), by_words).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns))

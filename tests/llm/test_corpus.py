@@ -57,6 +57,21 @@ def test_repeats_in_chunks(spark, monkeypatch):
     assert all(a <= t <= a + 40 and t - a >= 0 and b <= t for t, a, b in found)
 
 
+def test_stage_cuts_short_passages_of_over_50_words(spark, small):
+    """Planted passages of 51 words, in short and longer words and at signs, go from both documents; one of 50 words stays."""
+    rng = random.Random(8)
+    lone = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    passages = [" ".join(rng.choice(letters) * rng.randint(1, most) for _ in range(51)) for letters, most in (("abcdefghij", 1), ("äbcdé", 4), ("klmnopqr", 9))]
+    fifty = " ".join(rng.choice("stuvwxyz") * rng.randint(1, 3) for _ in range(50))
+    texts = [f"{lone(30)} {p} {lone(30)}" for p in passages] + [f"{lone(30)}. **{p}.** | {lone(30)}" for p in passages] + [f"{lone(30)} {fifty} {lone(30)}" for _ in range(2)]
+    docs = docs_of(spark, texts)
+    cut = {r.doc_id: r.text for r in corpus_pipeline.without_repeats(spark, docs, small).collect()}
+    assert all(len(p.encode()) < 400 for p in passages)
+    for i, p in enumerate(passages):
+        assert cut[i] == texts[i].replace(p, "") and cut[i + 3] == texts[i + 3].replace(p, "")
+    assert cut[6] == texts[6] and cut[7] == texts[7]
+
+
 def check_near(df, width, percent):
     rows = [(r.doc_id, r.text) for r in df.collect() if r.doc_id is not None]
     want = brute.near(rows, width, percent)
