@@ -1,7 +1,9 @@
 """Licence recognition by sentences and ordered rules, with SQL functions only.
 
-A text is cut into sentences; each is normalised (lower case, words only) and looked up among known licence
-sentences.  The identifiers found, in order, are matched against licence rules, longest first; what a
+A text is put in normal form (lower case, words only) with a mark where a sentence may begin or end: at punctuation, at the ends of lines and
+around web addresses.  A known sentence is found where it stands between two marks; inside it may run over the ends of lines, ";" and ":", so a
+hard-wrapped or commented licence is found like one on a single line, but not over other punctuation or a blank line.  Where known sentences
+overlap, the first counts, of those the longest.  The identifiers found, in order, are matched against licence rules, longest first; what a
 rule has matched is used up.  Identifiers that no rule takes are reported as parts of a licence.
 
 Defined results: a null or empty text has none; a sentence counts each time it occurs; repeated rows give
@@ -10,6 +12,8 @@ repeated rows; an empty table gives an empty table; other columns are not read.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,18 +69,35 @@ RULES = (
 )
 
 
-def normalised_sentences(text: Column) -> Column:
-    """Sentences of a text in normal form: lower case, words and the signs . + - inside them, single spaces, no sign at an end."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?;:])[ \t\r\n]+", "$1\n")
-    words = F.regexp_replace(F.lower(marked), r"[^\p{L}\p{N}.+\-\n]+", " ")
-    return F.transform(F.split(words, "\n", -1), lambda s: F.regexp_replace(s, r"^[ .+\-]+|[ .+\-]+$", ""))
+def marked(text: Column) -> Column:
+    """A text in normal form: lower case, words and the signs . + - inside them, single spaces; a line feed where a sentence may end, a form feed where it must."""
+    out = F.regexp_replace(F.lower(F.translate(F.coalesce(text, F.lit("")), "\f", " ")), r"\b(?:https?|ftp)://\S+", "\f")
+    out = F.regexp_replace(out, r"(^|\n)[ \t]*[;:!]+", "$1")  # comment marks, not punctuation
+    out = F.regexp_replace(F.regexp_replace(out, r"[.!?][ \t\r\n]+", "\f"), r"[;:][ \t\r]+", "\n")
+    out = F.regexp_replace(out, r"[^\p{L}\p{N}.+\-\n\f]+", " ")
+    # Signs and blanks around marks go, and of several marks one stays; a blank line is a mark that a sentence can't cross.
+    out = F.regexp_replace(out, r"(?<![ .+\-\n\f])(?=[ .+\-]*+(?:\f|\n[ .+\-]*+[\n\f]))[ .+\-\n\f]++", "\f")
+    out = F.regexp_replace(out, r"(?<![ .+\-\n\f])(?=[ .+\-]*+\n)[ .+\-\n\f]++", "\n")
+    return F.regexp_replace(out, r"^[ .+\-\n\f]++|(?<![ .+\-\n\f])[ .+\-\n\f]++$", "")
+
+
+def _plain(sentence: str) -> str:
+    return sentence.replace(". ", " ")
+
+
+def _pattern() -> str:
+    """Any known sentence between two marks, the longest first."""
+    every = sorted((s for many in SENTENCES.values() for s in many), key=lambda s: (-len(s), s))
+    words = (re.escape(s).replace(r"\.\ ", r"(?:\.[ \n]|\f)").replace(r"\ ", r"[ \n]") for s in every)
+    return rf"(?<![^\n\f])(?:{'|'.join(words)})(?![^\n\f])"
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_sentences, sentence_ids, licenses, n_parts) of each row; lists are joined by spaces, licences by commas in the rules' order."""
-    known = {s: k for k, many in SENTENCES.items() for s in many}
+    known = {_plain(s): k for k, many in SENTENCES.items() for s in many}
     names = F.create_map(*(F.lit(x) for kv in known.items() for x in kv))
-    ids = F.filter(F.transform(F.filter(normalised_sentences(F.col(text_col)), lambda s: s.isin(list(known))), lambda s: names[s]), lambda s: s.isNotNull())
+    found = F.regexp_extract_all(marked(F.col(text_col)), F.lit(_pattern()), F.lit(0))
+    ids = F.transform(found, lambda s: names[F.regexp_replace(s, r"\.?[ \n\f]", " ")])
     out = df.select(F.col(id_col), ids.alias("ids"))
     out = out.select(id_col, "ids", F.concat(F.lit(" "), F.array_join("ids", "  "), F.lit(" ")).alias("rest"), F.array().cast("array<string>").alias("hits"))
     for name, rule in RULES:

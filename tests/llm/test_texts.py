@@ -133,6 +133,80 @@ def test_licences(spark, odd, none):
     assert "Python" not in plan and "Exchange" not in plan
 
 
+APACHE = """Copyright 2020 Some One
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at{}http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+def test_wrapped_licences(spark):
+    """Full headers as they are laid out in files: wrapped, in comments, with Windows line ends, with an address in the line."""
+    headers = {"Apache-2.0": APACHE.format("\n\n    "), "MIT": MIT, "BSD-3-Clause": BSD, "GPL-3.0-or-later": GPL, "MPL-2.0": MPL}
+    layouts = [lambda t: t, lambda t: t.replace("\n", "\r\n"), *(lambda t, m=m: "".join(f"{m} {x}".rstrip() + "\n" for x in t.split("\n")) for m in ("#", "//", " *", "--", ";;"))]
+    cases = [(f"{name} {i}", layout(text)) for name, text in headers.items() for i, layout in enumerate(layouts)]
+    cases += [("Apache-2.0 inline", APACHE.format(" ")), ("Apache-2.0 box", "/*\n" + "\n".join(f" * {x:75} *" for x in APACHE.format(" ").split("\n")) + "\n */")]
+    got = {r.doc_id: (r.licenses, r.n_parts) for r in license_scan.scan(spark.createDataFrame(cases, "doc_id string, text string")).collect()}
+    assert got == {i: (i.split()[0], 0) for i, _ in cases}
+    parted = "Licensed under the\n\nMIT License now.\nthe\nMIT license\nx y Permission to use"
+    assert tuple(license_scan.scan(spark.createDataFrame([(1, parted)], "doc_id long, text string")).first())[1:] == (1, "mit-1", "MIT", 0)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "\\", "<", "[", "s>", "INST]", "/", " ", "x", "[ROLE]", "<\\s>"]), max_size=12).map("".join))
 def test_escape(text):
