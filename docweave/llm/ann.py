@@ -13,7 +13,7 @@ The number of probes is fitted on a bounded sample (``SAMPLE`` vectors, ``TRIALS
 neighbours in a sample are farther than in all rows and so harder to find, which keeps the number on the safe side.  All rows are indexed.
 
 Defined results: vectors null, empty, of another length than most, zero or with null or non-finite components take no part, as row or query; fewer
-candidates than k give as many ranks; ties go to the smaller id; rows with a null id take no part; repeated ids are
+candidates than k give as many ranks; ties (of scores rounded to twelve decimals) go to the smaller id; rows with a null id take no part; repeated ids are
 rows of their own (a query's own id is never its result); an empty table gives an empty table; other columns are not read.
 """
 
@@ -144,11 +144,11 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, recall: float = 0.96,
         best = best.join(short, F.col("key") == F.col("qkey"), "left_anti").unionByName(_search(entries, vectors, short, hashed, STEPS[-1], k))
     own = asked.join(best, F.col("key") == F.col("qkey"))
     flat = own.select(F.col("id").alias("query_id"), F.posexplode(F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k)).alias("p", "x"))
-    return flat.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.id").alias(id_col), (-F.col("x.s")).alias("score"))
+    return flat.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.id").alias(id_col), F.col("x.s").alias("score"))
 
 
 def _search(entries: DataFrame, vectors: DataFrame, wanted: DataFrame, hashed, n_probes: int, k: int) -> DataFrame:
-    """(qkey, near): for each wanted class the k + 1 nearest rows found, as array<struct<s: minus score, id>>."""
+    """(qkey, near): for each wanted class the k + 1 nearest rows found, as array<struct<r: minus the rounded score, id, s: score>>."""
     asks = keep(wanted.mapInPandas(hashed(True, n_probes), "tab int, cell int, key string"))
     # Blocks of buckets: their number follows the counts, so a full bucket becomes several groups.
     sizes = entries.groupBy("tab", "cell").agg(F.count("*").alias("a")).join(asks.groupBy("tab", "cell").agg(F.count("*").alias("b")), ["tab", "cell"])
@@ -162,22 +162,22 @@ def _search(entries: DataFrame, vectors: DataFrame, wanted: DataFrame, hashed, n
         if len(rows) and len(asks):
             x, first = np.array(rows["lv"].tolist()), np.array([i[0] for i in rows["lids"]])
             order = np.argsort(first, kind="stable")
-            x, keys = x[order], rows["key"].to_numpy()[order]
+            x, keys, first = x[order], rows["key"].to_numpy()[order], first[order]
             for at in range(0, len(asks), 256):
                 part = asks.iloc[at : at + 256]
                 score = np.array(part["rv"].tolist()) @ x.T
                 m = min(k + 1, score.shape[1])
                 best = np.argsort(-np.round(score, 12), axis=1, kind="stable")[:, :m]
-                out.append(pd.DataFrame({"qkey": np.repeat(part["key"].to_numpy(), m), "key": keys[best].ravel(), "near": np.take_along_axis(score, best, 1).ravel()}))
-        return pd.concat(out) if out else pd.DataFrame({"qkey": [], "key": [], "near": []})
+                out.append(pd.DataFrame({"qkey": np.repeat(part["key"].to_numpy(), m), "key": keys[best].ravel(), "near": np.take_along_axis(score, best, 1).ravel(), "first": first[best].ravel()}))
+        return pd.concat(out) if out else pd.DataFrame({"qkey": [], "key": [], "near": [], "first": []})
 
     group = ["tab", "cell", "i", "j"]
-    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(meet, "qkey string, key string, near double")
-    top = Window.partitionBy("qkey").orderBy(F.desc(F.round("near", 12)), "key")
-    # A few more than needed, since equal scores are put in order by id only below.
-    some = found.groupBy("qkey", "key").agg(F.max("near").alias("near")).withColumn("n", F.row_number().over(top)).where(F.col("n") <= 2 * k + 2).select("qkey", "key")
+    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(meet, "qkey string, key string, near double, first long")
+    top = Window.partitionBy("qkey").orderBy(F.desc(F.round("near", 12)), "first")
+    # A few more than needed, since scores are made exact only below; of classes that tie, those with the smallest ids hold all that can be wanted.
+    some = found.groupBy("qkey", "key").agg(F.max("near").alias("near"), F.min("first").alias("first")).withColumn("n", F.row_number().over(top)).where(F.col("n") <= 2 * k + 2).select("qkey", "key")
     exact = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     scored = some.join(vectors, "key").join(vectors.select(F.col("key").alias("qkey"), F.col("v").alias("qv")), "qkey").select("qkey", exact.alias("score"), "ids")
-    lists = scored.select("qkey", F.explode(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("s"), i.alias("id")))).alias("x"))
-    best = lists.withColumn("n", F.row_number().over(Window.partitionBy("qkey").orderBy("x.s", "x.id"))).where(F.col("n") <= k + 1)
+    lists = scored.select("qkey", F.explode(F.transform("ids", lambda i: F.struct((-F.round("score", 12)).alias("r"), i.alias("id"), F.col("score").alias("s")))).alias("x"))
+    best = lists.withColumn("n", F.row_number().over(Window.partitionBy("qkey").orderBy("x.r", "x.id"))).where(F.col("n") <= k + 1)
     return best.groupBy("qkey").agg(F.array_sort(F.collect_list("x")).alias("near"))

@@ -207,6 +207,12 @@ def test_nearest_odd(spark):
     check_nearest(spark, rows[:3], 20, 1.0)
 
 
+def test_nearest_ties_of_many_vectors(spark):
+    """Far more distinct vectors tie than are ranked: the smallest ids win."""
+    rows = [(0, [1.0] + [0.0] * 40, 0.0)] + [(j, [1.0] + [float(i == j) for i in range(1, 41)], 0.0) for j in range(1, 41)]
+    check_nearest(spark, rows, 3, 1.0)
+
+
 def test_nearest_recall(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(1500, 24))
