@@ -24,10 +24,15 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, similarity 0.8): that with the smallest id.  Of repeated rows one stays."""
+    """One document of each group of near duplicates (five words, similarity 0.8): that with the smallest id.
+
+    Of rows with the same id and text one stays; rows with a null id all stay.
+    """
     kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
     rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept_id")))
-    return rows.dropDuplicates(["doc_id"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    lone = F.when(F.col("doc_id").cast("long").isNull(), F.monotonically_increasing_id())
+    rows = rows.withColumn("__text_key", repeats.text_key(F.col("text"))).withColumn("__lone", lone)
+    return rows.dropDuplicates(["doc_id", "__text_key", "__lone"]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -246,6 +246,13 @@ def test_quality_odd(spark, odd, none):
     assert none.select(model.score(F.col("text"))).count() == 0
 
 
+def test_near_stage_drops_repeats_only(spark, small):
+    """Rows with a null id stay, and so do unlike texts of one id."""
+    rows = [(None, "alpha beta gamma"), (None, "alpha beta gamma"), (None, "delta"), (1, "one text"), (1, "one text"), (1, "another text here"), (2, "one text"), (3, None), (3, "")]
+    out = corpus_pipeline.without_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), small).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in out) == [(0, "alpha beta gamma"), (0, "alpha beta gamma"), (0, "delta"), (1, "another text here"), (1, "one text"), (3, "")]
+
+
 @pytest.fixture
 def tables(spark, odd, tmp_path):
     odd.write.parquet(str(tmp_path / "documents.parquet"))
