@@ -25,6 +25,7 @@ an empty table gives an empty table; other columns are not read.
 from __future__ import annotations
 
 import functools
+import hashlib
 
 import numpy as np
 import xxhash
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import Memo, discard, hold, keep, map_rows, release, utf8
 from .components import components
+from .repeats import text_key
 
 #: Coordinates of a signature; independent trees; levels taken at once from the root; looks at nodes, a level apart; classes of a small node at
 #: most; classes of a block of texts, and of a block of sketches; hashes of a bottom sketch.
@@ -148,19 +150,19 @@ def bottom_alike(own: np.ndarray, own_n: int, others: list[np.ndarray], sizes: n
 
 
 def signatures(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, set_hash, sig) of each row."""
+    """(id, n_shingles, set_hash, sig, text_key) of each row."""
 
     def make():
         hold("near_dedup", _words.clear)
 
         def f(ids, texts):
             sets = [shingle_set(t, width) for t in texts]
-            return ids, [len(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [signature(s).tobytes() if len(s) else None for s in sets]
+            return ids, [len(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [signature(s).tobytes() if len(s) else None for s in sets], [hashlib.md5(utf8(t)).digest() for t in texts]
 
         return f
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_rows(df, [id_col, text_col], f"{id_col} {kind}, n_shingles long, set_hash binary, sig binary", make)
+    return map_rows(df, [id_col, text_col], f"{id_col} {kind}, n_shingles long, set_hash binary, sig binary, text_key binary", make)
 
 
 def _descend(level: DataFrame, threshold: float, steps: int, roots: bool = False) -> DataFrame:
@@ -325,12 +327,14 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     signed = keep(signatures(docs, width, "doc", "text"))
     some = signed.where("n_shingles > 0 and doc is not null")
-    classes = keep(some.groupBy("set_hash").agg(F.min("doc").alias("cid"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
+    # A class has a number of its own, since an id with several texts may be the smallest of several classes.
+    least = some.groupBy("set_hash").agg(F.min(F.struct("doc", "text_key")).alias("least"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    classes = keep(least.select(F.monotonically_increasing_id().alias("cid"), "set_hash", F.col("least.doc").alias("least"), F.col("least.text_key").alias("text_key"), "n", "sig"))
     level = keep(_sized(_descend(classes, threshold, START, roots=True)))
-    wanted = level.select("cid").distinct()
-    texts = docs.where("doc is not null").join(wanted, F.col("doc") == F.col("cid")).groupBy("cid").agg(F.min("text").alias("text"))
-    one = classes.groupBy("cid").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))  # an id with several texts: any one
-    active = keep(_with_bottoms(texts.join(one, "cid"), width))
+    wanted = level.select("cid").distinct().join(classes.select("cid", F.col("least").alias("doc"), "text_key"), "cid")
+    keyed = docs.where("doc is not null").withColumn("text_key", text_key(F.col("text")))
+    texts = keyed.join(wanted, ["doc", "text_key"]).groupBy("cid").agg(F.min("text").alias("text"))
+    active = keep(_with_bottoms(texts.join(classes.select("cid", "n", "sig"), "cid"), width))
     release(df.sparkSession)
     links, comp = [], df.sparkSession.createDataFrame([], "id long, component long")
     for depth in range(DEPTH):
@@ -364,8 +368,11 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
         links.append(own.join(several, "doc").where("cid <> a").select("a", F.col("cid").alias("b")))
         fresh = True
     final = keep(components(_union(links))) if fresh else comp
-    named = signed.select("doc", "n_shingles", "set_hash").join(classes.select("set_hash", "cid"), "set_hash", "left").join(final, F.col("cid") == F.col("id"), "left")
-    component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "cid", "doc"))
+    # Components are named by their smallest id.
+    named = final.join(classes.select(F.col("cid").alias("id"), "least"), "id").groupBy("component").agg(F.min("least").alias("first"))
+    firsts = keep(final.join(keep(named), "component").select("id", "first"))
+    named = signed.select("doc", "n_shingles", "set_hash").join(classes.select("set_hash", "cid", "least"), "set_hash", "left").join(firsts, F.col("cid") == F.col("id"), "left")
+    component = F.when(F.col("doc").isNotNull(), F.coalesce("first", "least", "doc"))
     out = named.select("doc", "n_shingles", component.alias("component_id"))
     kept = F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True))
     return out.select(F.col("doc").alias(id_col), "n_shingles", "component_id", kept.alias("kept"))

@@ -108,6 +108,14 @@ def test_near_groups(spark, monkeypatch):
     check_near(docs_of(spark, texts), 3, 85)
 
 
+def test_near_several_texts_of_an_id(spark):
+    """An id that is the smallest of two unlike sets links the near copies of both."""
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, "none of it at all")]
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)}
+
+
 def test_near_on_test_data(spark, small):
     check_near(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text"), 5, 80)
 
