@@ -5,6 +5,8 @@ the allowed epochs) than its share takes what it has; its shortage goes to its s
 only what these can't take is left for the level above.  A leaf with budget b and t tokens gives b // t whole
 epochs and, of the next one, the prefix in a seeded order that fits the remainder.
 
+Tokens are those of the column ``tokens``; without it, words between white space, which no tokenizer counts the same.
+
 The prefix needs no sort of all rows: tokens are summed by the first hex digits of the order key, which finds
 the one bucket where each leaf's prefix ends; only this bucket's rows (1 of 4096) are ordered.  The result is
 a key for each leaf up to which its rows are taken, so texts are never shuffled.  What goes to the
