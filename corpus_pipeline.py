@@ -18,9 +18,9 @@ from docweave.llm.common import keep, load
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on labelled rows, scores 0.7 or more."""
+    """Documents that the quality classifier, fitted on labelled rows, scores 0.7 or more; all of them where the labels give no model."""
     model = quality.fit_on(docs, load(spark, sf_dir, "labels"))
-    return docs.where(model.score(F.col("text")) >= 0.7)
+    return docs.where(model.score(F.col("text")) >= 0.7) if model.fitted else docs
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,6 +62,11 @@ class CompressionQuality:
     def __init__(self, good: bytes, bad: bytes, weights: tuple[float, float, float]):
         self.good, self.bad, self.weights = good, bad, weights
 
+    @property
+    def fitted(self) -> bool:
+        """False where the labelled rows gave no model, so that each score is 0.5."""
+        return any(self.weights)
+
     @classmethod
     def fit(cls, labelled: DataFrame, text_col: str, label_col: str, key_col: str) -> CompressionQuality:
         """labelled: rows to learn from.  key_col only decides, by its hash, which rows are in the bounded sample and its halves."""

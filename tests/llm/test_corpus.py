@@ -268,6 +268,15 @@ def tables(spark, odd, tmp_path):
     return str(tmp_path)
 
 
+def test_quality_stage_without_a_model(spark, small, tmp_path):
+    """Labels of one class or none teach nothing and reject nothing; labels of both classes do."""
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    for name, some in (("one", labels.where("quality = 1")), ("none", labels.where("false"))):
+        some.write.parquet(str(tmp_path / name / "labels.parquet"))
+        assert corpus_pipeline.good_quality(spark, docs, str(tmp_path / name)).count() == docs.count()
+    assert 0 < corpus_pipeline.good_quality(spark, docs, small).count() < docs.count()
+
+
 def test_stages_keep_columns(spark, odd, none, tables):
     for docs in (odd, none):
         for name, stage in corpus_pipeline.STAGES[:-1]:
