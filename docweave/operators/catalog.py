@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import datetime
-import shutil
+import posixpath
 import uuid
-from pathlib import Path
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import CACHE, KNOWLEDGE_BASES, REGISTRY
+from ..storage import Files
 from .tables import KeyedTable, last_rows
 from .vector_table import VectorTable
 
@@ -48,7 +49,7 @@ class KnowledgeBases:
         """Drop the collection and the row; hashes and raw files stay."""
         self.get(kb)
         self.vectors.drop_collection(kb)
-        self.table.replace(self.table.read().where(F.col("id") != kb))
+        self.table.delete(self.spark.createDataFrame([(kb,)], "id string"))
 
 
 class HashRegistry:
@@ -92,39 +93,47 @@ class EmbeddingCache:
         return row and row["vector"]
 
     def put(self, rows: DataFrame) -> None:
-        self.table.upsert(last_rows(rows, ["content_hash", "model_id"], "created_at"))
+        self.table.upsert(last_rows(rows, ["content_hash", "model_id"], "created_at"), unique=True)
+
+
+@dataclass(frozen=True, order=True)
+class StoredFile:
+    path: str
+    size: int
+
+    @property
+    def name(self) -> str:
+        return posixpath.basename(self.path)
 
 
 class RawFiles:
-    """Uploaded files, a folder for each knowledge base.  A driver-side store of small numbers of files."""
+    """Uploaded files, a folder for each knowledge base, in any file system that Spark writes.  Files go through the driver one by one."""
+
+    def __init__(self, base: str, spark: SparkSession | None = None):
+        self.base, self.files = base.rstrip("/"), Files(spark or SparkSession.builder.getOrCreate())
 
-    def __init__(self, base: str):
-        self.base = Path(base)
+    def _folder(self, kb: str) -> str:
+        return f"{self.base}/{posixpath.basename(kb)}"
 
-    def _at(self, kb: str, name: str) -> Path:
-        return self.base / Path(kb).name / Path(name).name  # no path of its own
+    def _at(self, kb: str, name: str) -> str:
+        return f"{self._folder(kb)}/{posixpath.basename(name)}"  # no path of its own
 
-    def save_bytes(self, kb: str, name: str, data: bytes) -> Path:
+    def save_bytes(self, kb: str, name: str, data: bytes) -> str:
         path = self._at(kb, name)
-        path.parent.mkdir(parents=True, exist_ok=True)
-        path.write_bytes(data)
+        self.files.write(path, data)
         return path
 
-    def copy_from_path(self, kb: str, source: str) -> Path:
+    def copy_from_path(self, kb: str, source: str) -> str:
         path = self._at(kb, source)
-        path.parent.mkdir(parents=True, exist_ok=True)
-        return Path(shutil.copy2(source, path))
+        self.files.copy(source, path)
+        return path
 
     def delete(self, kb: str, name: str) -> bool:
-        path = self._at(kb, name)
-        if not path.is_file():
-            return False
-        path.unlink()
-        return True
-
-    def list_files(self, kb: str) -> list[Path]:
-        folder = self.base / Path(kb).name
-        return sorted(p for p in folder.iterdir() if p.is_file()) if folder.is_dir() else []
+        return any(f.name == posixpath.basename(name) for f in self.list_files(kb)) and self.files.delete(self._at(kb, name))
+
+    def list_files(self, kb: str) -> list[StoredFile]:
+        """Files of a knowledge base, by name."""
+        return [StoredFile(self._at(kb, name), size) for name, size, is_file in self.files.listed(self._folder(kb)) if is_file]
 
 
 def iso(ts: Column) -> Column:

@@ -1,4 +1,7 @@
-"""The chunk table: one collection for each knowledge base, with vectors and payload."""
+"""The chunk table: one collection for each knowledge base, with vectors and payload.
+
+A collection is a partition of a keyed table; its dimensions are a fact of the partition.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..schema import CHUNK_TABLE, METADATA
 from .retrieval import payload_filter, search_dense, search_one
-from .tables import KeyedTable, upserted
+from .tables import KeyedTable
 
 PAYLOAD = ("source_uri", "source_type", "title", "author", "mime_type", "file_size_bytes", "created_at", "modified_at", "page_count", "language", "content_hash", "extra")
 
@@ -34,34 +37,36 @@ class VectorTable:
     """Collections of chunks by knowledge base id."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.table = KeyedTable(spark, path, CHUNK_TABLE, ["chunk_id"], "knowledge_base_id")
-        self.dims = KeyedTable(spark, f"{path}-dims", "knowledge_base_id string, dims int", ["knowledge_base_id"])
+        self.table = KeyedTable(spark, path, CHUNK_TABLE, ["chunk_id"])
         self.spark = spark
 
     def ensure_collection(self, kb: str, dims: int) -> None:
         """Create a collection; one that is there must have the same dimensions."""
-        found = self._dims(kb)
-        if found is not None and found != dims:
+        found = self.table.add_part(kb, {"dims": dims})["dims"]
+        if found != dims:
             raise ValueError(f"collection {kb} has {found} dimensions, not {dims}")
-        if found is None:
-            self.dims.upsert(self.spark.createDataFrame([(kb, dims)], "knowledge_base_id string, dims int"))
-            self.table.replace(self.spark.createDataFrame([], CHUNK_TABLE), kb)
 
-    def _dims(self, kb: str) -> int | None:
-        row = self.dims.read().where(F.col("knowledge_base_id") == kb).first()
-        return row and row["dims"]
+    def has_collection(self, kb: str) -> bool:
+        return self.table.facts(kb) is not None
 
     def drop_collection(self, kb: str) -> bool:
-        self.dims.replace(self.dims.read().where(F.col("knowledge_base_id") != kb))
         return self.table.drop_part(kb)
 
-    def upsert(self, kb: str, chunks: DataFrame) -> None:
-        """Rows of the chunk table, in place of those with the same id.  Vectors of other lengths are an error."""
-        dims = self._dims(kb)
+    def _checked(self, kb: str, chunks: DataFrame) -> DataFrame:
+        """The chunks; a vector of another length than the collection's is an error."""
+        dims = (self.table.facts(kb) or {}).get("dims")
+        if dims is None:
+            return chunks
         bad = F.raise_error(F.lit(f"vectors of collection {kb} have {dims} dimensions"))
-        if dims is not None:
-            chunks = chunks.withColumn("vector", F.when(F.size("vector") == dims, F.col("vector")).otherwise(bad.cast("array<double>")))
-        self.table.replace(upserted(self.table.read(kb), chunks, ["chunk_id"]), kb)
+        return chunks.withColumn("vector", F.when(F.size("vector") == dims, F.col("vector")).otherwise(bad.cast("array<double>")))
+
+    def upsert(self, kb: str, chunks: DataFrame) -> None:
+        """Rows of the chunk table, in place of those with the same id; of several with one id the last counts."""
+        self.table.upsert(self._checked(kb, chunks), kb)
+
+    def replace_sources(self, kb: str, sources: DataFrame, chunks: DataFrame) -> None:
+        """In one commit, delete all chunks of sources (source_uri) and write others, whose ids are unique."""
+        self.table.swap(sources.select("source_uri"), self._checked(kb, chunks), kb)
 
     def read(self, kb: str) -> DataFrame:
         return self.table.read(kb)
@@ -70,15 +75,18 @@ class VectorTable:
         """All chunks without vectors, which the scan then doesn't read."""
         return self.read(kb).drop("vector")
 
+    def _one(self, column: str, value: str) -> DataFrame:
+        return self.spark.createDataFrame([(value,)], f"{column} string")
+
     def delete_by_document_id(self, kb: str, document_id: str) -> None:
-        self.table.replace(self.read(kb).where(F.col("document_id") != document_id), kb)
+        if self.has_collection(kb):
+            self.table.delete(self._one("document_id", document_id), kb)
 
     def delete_by_source_uri(self, kb: str, source_uri: str) -> int:
         """Delete a source's chunks; how many there were (0 for an unknown collection)."""
-        rows = self.read(kb)
-        gone = rows.where(F.col("source_uri") == source_uri).count()
+        gone = self.read(kb).where(F.col("source_uri") == source_uri).count()
         if gone:
-            self.table.replace(rows.where(F.col("source_uri") != source_uri), kb)
+            self.table.delete(self._one("source_uri", source_uri), kb)
         return gone
 
     def search(self, kb: str, vector: list[float], k: int, filters: dict | None = None) -> DataFrame:

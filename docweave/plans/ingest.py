@@ -77,8 +77,9 @@ class Indexer:
     def index(self, raw: DataFrame, kb: str) -> DataFrame:
         """(source_uri, skipped, chunk_count, error) for each source of the batch.
 
-        The new chunk table is built before it takes the old one's place, so a failure on the way leaves the old chunks.
-        Rows that could not be loaded carry ``error`` in ``extra``; they are reported and change nothing.
+        The chunks of changed sources are written first, then take the old ones' place in one commit, so a failure on the way leaves
+        the old chunks; hashes come last, so what failed is indexed again.  Only what changed is written.  Rows that could not be
+        loaded carry ``error`` in ``extra``; they are reported and change nothing.
         """
         batch = last_of_source(raw.where(F.col("knowledge_base_id") == kb)).persist()
         held = [batch]
@@ -96,11 +97,10 @@ class Indexer:
             embedded, new = embed_cached(chunk(fresh, self.split), self.cache.read(), self.model_id, self.embed, self.per)
             embedded = embedded.persist()
             held.append(embedded)
-            old = self.vectors.read(kb).join(state.where("changed").select("source_uri").distinct(), "source_uri", "left_anti")
             counts = embedded.groupBy("source_uri").agg(F.count("*").alias("n"))
             result = state.select("source_uri", "changed").join(counts, "source_uri", "left")
             shown = self._report(result.select("source_uri", (~F.col("changed")).alias("skipped"), F.coalesce("n", F.lit(0)).cast("long").alias("chunk_count"), F.lit(None).cast("string").alias("error")).unionByName(failed))
-            self.vectors.table.replace(old.unionByName(embedded.select(old.columns)), kb)
+            self.vectors.replace_sources(kb, state.where("changed"), embedded)
             self.cache.put(new)
             self.registry.set_hashes(state.where("changed").select("knowledge_base_id", "source_uri", "content_hash"))
             for call in self.callbacks or []:
@@ -111,6 +111,15 @@ class Indexer:
             for df in held:
                 df.unpersist()
 
+    def vacuum(self, older_ms: int = 0) -> int:
+        """Delete what no table needs any more, and reports, where older than this; the number of folders."""
+        reports = f"{self.vectors.table.path}-reports"
+        files = self.vectors.table.files
+        old = [n for n in files.names(reports) if files.age_ms(f"{reports}/{n}") >= older_ms]
+        for n in old:
+            files.delete(f"{reports}/{n}")
+        return len(old) + sum(t.vacuum(older_ms=older_ms) for t in (self.vectors.table, self.registry.table, self.cache.table))
+
     def _report(self, df: DataFrame) -> DataFrame:
         """A report of a batch, written before the tables that it reads change."""
         path = f"{self.vectors.table.path}-reports/{uuid.uuid4().hex}"
