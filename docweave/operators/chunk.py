@@ -10,31 +10,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vectors import cosine, hashed_embeddings
+from ..functions.vectors import hashed_embeddings, previous_cosines
 from ..schema import CHUNK_OVERLAP, CHUNK_TOKENS, SEMANTIC_THRESHOLD
 
 _UNIT = "array<struct<t:string,solo:boolean,n:int>>"
-_NO_WORDS = "array<string>"
+_TEXTS = "array<string>"
 
 
-def _unit(text: Column, alone) -> Column:
-    return F.struct(text.alias("t"), F.lit(alone).alias("solo"), T.token_estimate(text).alias("n"))
+def _unit(text: Column, n: Column | None = None) -> Column:
+    """A unit of so many tokens; without n one that is a chunk of its own, whose size doesn't matter."""
+    return F.struct(text.alias("t"), F.lit(n is None).alias("solo"), (F.lit(0) if n is None else n).alias("n"))
 
 
 def _hard(text: Column, size: int) -> Column:
-    return F.transform(T.hard_pieces(text, 3 * size), lambda p: _unit(p, True))
+    return F.transform(T.hard_pieces(text, 3 * size), lambda piece: _unit(piece))
 
 
 def _units(text: Column, size: int) -> Column:
     """Paragraphs; one over the budget becomes its sentences (each a chunk of its own), a sentence over it fixed pieces."""
 
     def of_sentence(s: Column) -> Column:
-        return F.when(T.token_estimate(s) > size, _hard(s, size)).otherwise(F.array(_unit(s, True)))
+        return F.when(T.token_estimate(s) > size, _hard(s, size)).otherwise(F.array(_unit(s)))
+
+    def of_parts(p: Column, parts: Column) -> Column:
+        return F.when(F.size(parts) > 1, F.flatten(F.transform(parts, of_sentence))).otherwise(_hard(p, size))
 
     def of_paragraph(p: Column) -> Column:
-        parts = T.sentences(p)
-        split = F.when(F.size(parts) > 1, F.flatten(F.transform(parts, of_sentence))).otherwise(_hard(p, size))
-        return F.when(T.token_estimate(p) > size, split).otherwise(F.array(_unit(p, False)))
+        return T.let(T.token_estimate(p), lambda n: F.when(n > size, T.let(T.sentences(p), lambda parts: of_parts(p, parts))).otherwise(F.array(_unit(p, n))))
 
     return F.flatten(F.transform(T.paragraphs(text), of_paragraph)).cast(_UNIT)
 
@@ -43,29 +45,42 @@ def packed(text: Column, size: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP)
     """Chunk texts of the recursive chunker, in order, blank ones included (they count in the numbering).
 
     Units are joined while their token estimates fit; the next chunk then begins with the last ``overlap`` words of
-    the one before, whatever that adds.
+    the one before, whatever that adds.  The fold joins the units of a chunk once, where it ends.
     """
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("cur"), F.lit(0).alias("n"))
+    none = F.array().cast(_TEXTS)
+    start = F.struct(none.alias("out"), none.alias("cur"), F.lit(0).alias("n"))
+
+    def state(out: Column, cur: Column, n: Column) -> Column:
+        return F.struct(out.alias("out"), cur.alias("cur"), n.cast("int").alias("n"))
 
     def flushed(s: Column) -> Column:
         return F.when(F.size(s["cur"]) > 0, F.array_append(s["out"], F.array_join(s["cur"], " "))).otherwise(s["out"])
 
+    def tail_of(text: Column) -> Column:
+        """The last words; fewer than ``overlap`` are the whole text's."""
+        if overlap <= 0:
+            return none
+        return T.let(T.words(text), lambda w: F.slice(w, F.greatest(F.size(w) - overlap, F.lit(0)) + 1, F.lit(overlap)))
+
+    def turned(s: Column, u: Column) -> Column:
+        def begun(joined: Column, tail: Column) -> Column:
+            carried = F.when(F.size(tail) > 0, F.array(F.array_join(tail, " "), u["t"])).otherwise(F.array(u["t"]))
+            return state(F.array_append(s["out"], joined), carried, F.round(F.size(tail) / F.lit(0.75)) + u["n"])
+
+        return T.let(F.array_join(s["cur"], " "), lambda joined: T.let(tail_of(joined), lambda tail: begun(joined, tail)))
+
     def step(s: Column, u: Column) -> Column:
-        joined = F.array_join(s["cur"], " ")
-        all_words = T.words(joined)
-        tail = F.array_join(F.slice(all_words, F.greatest(F.size(all_words) - overlap, F.lit(0)) + 1, F.lit(max(overlap, 1))), " ") if overlap > 0 else F.lit("")
-        alone = F.struct(F.array_append(flushed(s), u["t"]).alias("out"), F.array().cast(_NO_WORDS).alias("cur"), F.lit(0).alias("n"))
-        carried = F.when(tail != "", F.array(tail, u["t"])).otherwise(F.array(u["t"]))
-        turned = F.struct(F.array_append(s["out"], joined).alias("out"), carried.alias("cur"), (T.token_estimate(tail) + u["n"]).cast("int").alias("n"))
-        added = F.struct(s["out"].alias("out"), F.array_append(s["cur"], u["t"]).alias("cur"), (s["n"] + u["n"]).cast("int").alias("n"))
-        return F.when(u["solo"], alone).when((s["n"] + u["n"] > size) & (F.size(s["cur"]) > 0), turned).otherwise(added)
+        alone = state(F.array_append(flushed(s), u["t"]), none, F.lit(0))
+        added = state(s["out"], F.array_append(s["cur"], u["t"]), s["n"] + u["n"])
+        return F.when(u["solo"], alone).when((s["n"] + u["n"] > size) & (F.size(s["cur"]) > 0), turned(s, u)).otherwise(added)
 
     return F.aggregate(_units(text, size), start, step, flushed)
 
 
 def _exploded(df: DataFrame, chunks: Column, content: str) -> DataFrame:
     """One row for each chunk that isn't blank; indexes count blank ones too."""
-    rows = df.select("*", F.posexplode(chunks).alias("chunk_index", "__chunk"))
+    # The outer form: for the plain one Spark would add a filter that computes all chunks a second time.
+    rows = df.select("*", F.posexplode_outer(chunks).alias("chunk_index", "__chunk"))
     return rows.where(T.strip(F.col("__chunk")) != "").drop(content).withColumnRenamed("__chunk", "content").withColumn("token_count", T.token_estimate(F.col("content")))
 
 
@@ -101,22 +116,25 @@ def chunk_semantic(df: DataFrame, threshold: float = SEMANTIC_THRESHOLD, size: i
     """
     embed = embed or (lambda s: hashed_embeddings(F.transform(s, T.tokenize), 64))
     rows = df.withColumn("__s", T.sentences(F.col(content)))
-    rows = rows.withColumn("__v", embed(F.col("__s")))
-    s, v = F.col("__s"), F.col("__v")
-    units = F.transform(
-        s, lambda x, i: F.struct(x.alias("t"), T.token_estimate(x).alias("n"), F.when(i == 0, F.lit(False)).otherwise(F.round(cosine(F.get(v, i - 1), F.get(v, i)), 9) >= threshold).alias("near"))
-    )
-    rows = rows.withColumn("__u", units)
-    start = F.struct(F.array().cast("array<struct<content:string,n:int>>").alias("out"), F.lit(None).cast("string").alias("cur"), F.lit(0).alias("n"))
+    rows = rows.withColumn("__v", previous_cosines(embed(F.col("__s"))))
+    s = F.col("__s")
+    near = lambda v: F.coalesce(F.round(v, 9) >= threshold, F.lit(False))
+    units = F.zip_with(s, "__v", lambda x, v: F.struct(T.token_estimate(x).alias("n"), near(v).alias("near")))
+    # The fold says where chunks end; their texts are joined afterwards, each once.
+    kind = "array<struct<first:int,last:int,n:int>>"
+    start = F.struct(F.array().cast(kind).alias("out"), F.lit(0).alias("first"), F.lit(0).alias("at"), F.lit(0).alias("n"))
 
     def flushed(a: Column) -> Column:
-        return F.when(a["cur"].isNotNull(), F.array_append(a["out"], F.struct(a["cur"].alias("content"), a["n"].alias("n")))).otherwise(a["out"])
+        done = F.struct(a["first"].alias("first"), a["at"].alias("last"), a["n"].alias("n"))
+        return F.when(a["at"] > 0, F.array_append(a["out"], done)).otherwise(a["out"])
 
     def step(a: Column, u: Column) -> Column:
         joins = u["near"] & (a["n"] + u["n"] <= size)
-        grown = F.struct(a["out"].alias("out"), F.concat(a["cur"], F.lit(" "), u["t"]).alias("cur"), (a["n"] + u["n"]).cast("int").alias("n"))
-        fresh = F.struct(flushed(a).alias("out"), u["t"].alias("cur"), u["n"].cast("int").alias("n"))
+        grown = F.struct(a["out"].alias("out"), a["first"].alias("first"), (a["at"] + 1).alias("at"), (a["n"] + u["n"]).cast("int").alias("n"))
+        fresh = F.struct(flushed(a).alias("out"), a["at"].alias("first"), (a["at"] + 1).alias("at"), u["n"].cast("int").alias("n"))
         return F.when(joins, grown).otherwise(fresh)
 
-    rows = rows.select("*", F.posexplode(F.aggregate(F.col("__u"), start, step, flushed)).alias("chunk_index", "__c"))
-    return rows.drop(content, "__s", "__v", "__u").withColumn("content", F.col("__c.content")).withColumn("token_count", F.col("__c.n")).drop("__c")
+    rows = rows.withColumn("__c", F.aggregate(units, start, step, flushed)).drop("__v")
+    rows = rows.select("*", F.posexplode_outer(F.col("__c")).alias("chunk_index", "__x")).where(F.col("__x").isNotNull())
+    text = F.array_join(F.slice(s, F.col("__x.first") + 1, F.col("__x.last") - F.col("__x.first")), " ")
+    return rows.withColumn("__t", text).drop(content, "__s", "__c").withColumn("token_count", F.col("__x.n")).drop("__x").withColumnRenamed("__t", "content")

@@ -74,9 +74,11 @@ def test_structural(spark):
 
 
 def test_semantic_splits_topics(spark):
-    cat, stock = [1.0, 0.01], [0.01, 1.0]
-    embed = lambda s: F.transform(s, lambda x: F.when(F.contains(x, F.lit("cat")), F.array(*map(F.lit, cat))).otherwise(F.array(*map(F.lit, stock))))
-    got = run(spark, ["A cat sat. The cat ran. A stock fell. The stock rose.", ""], lambda df: C.chunk_semantic(df, embed=embed))
-    assert got == [[(0, "A cat sat. The cat ran."), (1, "A stock fell. The stock rose.")], []]
-    sized = run(spark, ["A cat sat. The cat ran."], lambda df: C.chunk_semantic(df, size=5, embed=embed))
+    """Vectors by a sentence's last word; lengths may differ, and the shorter one counts."""
+    vector = lambda x: F.when(F.contains(x, F.lit("sea")), F.array(F.lit(3.0), F.lit(0.0))).when(F.contains(x, F.lit("sky")), F.array(F.lit(0.0), F.lit(2.0), F.lit(9.0))).otherwise(F.array(F.lit(0.0), F.lit(0.0)))
+    embed = lambda s: F.transform(s, vector)
+    texts = ["Ships on the sea. Waves of the sea. Birds in the sky. Clouds of the sky.", "", "All at sea. Nothing. Nothing again. No sky", "One"]
+    got = run(spark, texts, lambda df: C.chunk_semantic(df, threshold=0.15, embed=embed))
+    assert got == [[(0, "Ships on the sea. Waves of the sea."), (1, "Birds in the sky. Clouds of the sky.")], [], [(0, "All at sea."), (1, "Nothing."), (2, "Nothing again."), (3, "No sky")], [(0, "One")]]
+    sized = run(spark, ["Far at sea. Deep in the sea."], lambda df: C.chunk_semantic(df, size=5, embed=embed))
     assert len(sized[0]) == 2
