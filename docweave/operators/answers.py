@@ -64,9 +64,9 @@ def extractive_pieces(results: DataFrame) -> DataFrame:
     return first.select("query_id", F.posexplode(all_).alias("seq", "p")).select("query_id", "seq", "p.text", "p.is_final")
 
 
-def stream_generate(generator: Generator, system: str, user: str, cited: list[dict]) -> Iterator[dict]:
+def stream_generate(generator: Generator, system: str, user: str, cited: list[dict], first_wait: float = 1.0) -> Iterator[dict]:
     """Answer pieces from a model on the driver, one query at a time; starting it is tried three times."""
-    for text, final in with_retries(lambda: generator(system, user)):
+    for text, final in with_retries(lambda: generator(system, user), first_wait=first_wait):
         if text or final:
             yield {"text": text, "is_final": final, "citations": cited if final else []}
 

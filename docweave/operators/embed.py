@@ -28,8 +28,8 @@ def with_retries(call: Callable, tries: int = 3, first_wait: float = 1.0, longes
             time.sleep(min(longest_wait, first_wait * 2**n))
 
 
-def model_udf(model: Model, kind: str = "passage", batch: int = EMBED_BATCH):
-    """A column function that calls the model for each ``batch`` texts and restores their order by index."""
+def model_udf(model: Model, kind: str = "passage", batch: int = EMBED_BATCH, first_wait: float = 1.0):
+    """A column function that calls the model for each ``batch`` texts, a failed call again after a wait, and restores their order by index."""
 
     @F.pandas_udf("array<double>")
     def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -37,7 +37,7 @@ def model_udf(model: Model, kind: str = "passage", batch: int = EMBED_BATCH):
             out: list[list[float]] = []
             for at in range(0, len(texts), batch):
                 some = texts.iloc[at : at + batch].tolist()
-                found = with_retries(lambda some=some: model(some, kind))
+                found = with_retries(lambda some=some: model(some, kind), first_wait=first_wait)
                 out += [[float(x) for x in v] for _, v in sorted(found, key=lambda p: p[0])]
             yield pd.Series(out, index=texts.index, dtype=object)
 

@@ -36,29 +36,29 @@ def test_incremental_indexing(spark, engine, tmp_path):
     kb = engine.create_knowledge_base("first")["id"]
     calls = []
     engine.indexer.add_invalidate_callback(calls.append)
-    paths = write(tmp_path / "in", a_txt="cats are animals", b_md="# Stocks\n\nmarkets fell", c_csv="name,role\nAlice,Engineer\n", d_html="<title>Page</title><nav>x</nav><p>the real content</p>")
+    paths = write(tmp_path / "in", a_txt="ships leave at noon", b_md="# Tides\n\nwater rises", c_csv="name,role\nAlice,Engineer\n", d_html="<title>Page</title><nav>x</nav><p>the real content</p>")
     first = report(engine.ingest(paths, kb))
     assert {k: v[0] for k, v in first.items()} == {"a.txt": False, "b.md": False, "c.csv": False, "d.html": False}
     again = engine.ingest(paths, kb)
     assert all(v[0] for v in report(again).values()) and calls == [kb]
     assert tuple(batch_counts(again).first()) == (0, 4, 0)
-    write(tmp_path / "in", a_txt="dogs are animals too")
+    write(tmp_path / "in", a_txt="ships leave at dusk now")
     third = report(engine.ingest(paths, kb))
     assert [k for k, v in third.items() if not v[0]] == ["a.txt"]
     texts = {r["content"] for r in engine.vectors.get_all_chunks(kb).collect()}
-    assert "dogs are animals too" in texts and "cats are animals" not in texts
+    assert "ships leave at dusk now" in texts and "ships leave at noon" not in texts
     assert any(t.startswith("| name | role |\n| --- | --- |") for t in texts)
     assert "Page\nthe real content" in texts
 
 
 def test_query_streams_events(engine, tmp_path):
     kb = engine.create_knowledge_base("q")["id"]
-    engine.ingest(write(tmp_path / "in", a_txt="cats are animals", b_txt="stocks fell today"), kb)
-    events = [json.loads(e.removeprefix("data: ")) for e in engine.query(kb, "cats", 1)]
-    assert "".join(e["text"] for e in events).strip() == "cats are animals"
+    engine.ingest(write(tmp_path / "in", a_txt="ships leave at noon", b_txt="water was low in the harbour today"), kb)
+    events = [json.loads(e.removeprefix("data: ")) for e in engine.query(kb, "ship", 1)]
+    assert "".join(e["text"] for e in events).strip() == "ships leave at noon"
     assert events[-1]["is_final"] and events[-1]["citations"][0]["source_uri"].endswith("a.txt")
     engine.generator = lambda system, user: iter([("Hi ", False), ("there", True)])
-    events = [json.loads(e.removeprefix("data: ")) for e in engine.query(kb, "cats", 1)]
+    events = [json.loads(e.removeprefix("data: ")) for e in engine.query(kb, "ship", 1)]
     assert [e["text"] for e in events] == ["Hi ", "there"] and events[1]["citations"]
     with pytest.raises(KnowledgeBaseNotFound):
         list(engine.query("none", "x"))
@@ -141,8 +141,8 @@ def test_pages(spark, engine):
     assert report(engine.ingest_pages(W.fetch_pages(urls, get).drop("error"), kb))["final"][1] == 1
 
 
-def test_raw_files(tmp_path):
-    store = RawFiles(str(tmp_path))
+def test_raw_files(spark, tmp_path):
+    store = RawFiles(str(tmp_path), spark)
     store.save_bytes("kb", "../../evil.txt", b"x")
     assert [p.name for p in store.list_files("kb")] == ["evil.txt"] and store.list_files("none") == []
     assert store.delete("kb", "evil.txt") and not store.delete("kb", "evil.txt")
@@ -158,3 +158,26 @@ def test_stream(spark, engine, small, tmp_path):
         stream.index_stream(rows, engine.indexer, kb, str(tmp_path / f"check{len(reports)}"), lambda r, n: reports.append(tuple(batch_counts(r).first()))).awaitTermination()
     n = spark.read.parquet(str(folder)).count()
     assert reports == [(n, 0, 0), (0, n, 0)]
+
+
+def test_a_later_session_finds_the_index(spark, engine, tmp_path):
+    kb = engine.create_knowledge_base("i")["id"]
+    engine.ingest(write(tmp_path / "in", a_txt="ships leave at noon"), kb)
+    assert len(list(engine.query(kb, "ship", 1))) > 1
+    index = engine._index(kb)
+    other = Engine(spark, engine.config)
+    assert other._index(kb).path == index.path and index.is_built()
+    engine.ingest(write(tmp_path / "in", a_txt="trains leave at one"), kb)
+    assert not index.is_built() and other._index(kb).path != index.path
+
+
+def test_responses(engine):
+    kb = engine.create_knowledge_base("r")["id"]
+    done = engine.respond(engine.retrieve, kb, engine._queries(["x"]), request_id="abc")
+    assert done["status"] == 200 and done["headers"]["X-Request-ID"] == "abc" and float(done["headers"]["X-Process-Time-Ms"]) >= 0
+    failed = engine.respond(lambda: {}["secret"])
+    assert failed["status"] == 500 and "secret" not in json.dumps(failed["body"]) and failed["body"]["error"]["request_id"] == failed["headers"]["X-Request-ID"]
+    assert engine.respond(engine.kbs.get, "none")["status"] == 404 and engine.health() == {"status": "ok"}
+    assert engine.ready() == (True, {"status": "ready", "dependencies": dict.fromkeys(("knowledge_bases", "chunks", "hashes", "vectors"), "ok")})
+    engine.kbs.table.files.write(f"{engine.kbs.table.path}/log/{99:020d}.json", b"broken")
+    assert engine.ready()[1]["dependencies"]["knowledge_bases"] == "unavailable" and not engine.ready()[0]
