@@ -17,6 +17,7 @@ from pyspark.sql.types import StringType
 from ..functions import text as T
 from ..functions.html import title
 from ..schema import EXTENSIONS
+from . import pdf
 
 
 def raw_rows(df: DataFrame, content: Column, uri: Column, source_type: Column, kb: str, title: Column | None = None, mime: Column | None = None, size: Column | None = None, modified: Column | None = None, extra: Column | None = None) -> DataFrame:
@@ -145,11 +146,11 @@ def _xml_list(data: bytes) -> list[str]:
 
 
 def pdf_text(name: str, data: bytes) -> str:
-    """Text of a PDF, if a library for it is installed."""
+    """Text of a PDF: by the optional package pypdf where it is installed, else by our own reader."""
     try:
         from pypdf import PdfReader
-    except ImportError as e:
-        raise RuntimeError("reading PDF needs the optional package pypdf") from e
+    except ImportError:
+        return pdf.text_of(data)
     return "\n\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(data)).pages)
 
 
@@ -208,18 +209,30 @@ def _with_error(files: DataFrame, kb: str, extra: Column | None) -> DataFrame:
     return _with_facts(files, F.col("text"), loader_of(F.col("path")), kb, extra=marked)
 
 
+def office_rows(files: DataFrame, kb: str) -> DataFrame:
+    """Raw documents of docx, pptx and xlsx files (path, content, length, modificationTime); one that can't be read has null content and its error in ``extra``."""
+    return _with_error(_converted(files, office_text), kb, None)
+
+
+def pdf_rows(files: DataFrame, kb: str, convert=pdf_text) -> DataFrame:
+    return _with_error(_converted(files, convert), kb, None)
+
+
+def image_rows(files: DataFrame, kb: str, ocr=image_text, provider: str = "tesseract") -> DataFrame:
+    """Text of images by an OCR provider: a function of name and bytes."""
+    return _with_error(_converted(files, ocr), kb, F.create_map(F.lit("ocr_provider"), F.lit(provider)))
+
+
 def load_office(spark: SparkSession, path, kb: str) -> DataFrame:
-    """docx, pptx and xlsx; a file that can't be read has null content and its error in ``extra``."""
-    return _with_error(_converted(_files(spark, path), office_text), kb, None)
+    return office_rows(_files(spark, path), kb)
 
 
 def load_pdf(spark: SparkSession, path, kb: str, convert=pdf_text) -> DataFrame:
-    return _with_error(_converted(_files(spark, path), convert), kb, None)
+    return pdf_rows(_files(spark, path), kb, convert)
 
 
 def load_images(spark: SparkSession, path, kb: str, ocr=image_text, provider: str = "tesseract") -> DataFrame:
-    """Text of images by an OCR provider: a function of name and bytes."""
-    return _with_error(_converted(_files(spark, path), ocr), kb, F.create_map(F.lit("ocr_provider"), F.lit(provider)))
+    return image_rows(_files(spark, path), kb, ocr, provider)
 
 
 #: Loaders by source type; ``register`` adds or replaces one.

@@ -26,15 +26,15 @@ def http_get(url: str, timeout: float = 30.0) -> dict:
         return {"url": r.geturl(), "html": r.read().decode(charset, "replace"), "content_type": r.headers.get("Content-Type"), "content_length": r.headers.get("Content-Length"), "last_modified": r.headers.get("Last-Modified")}
 
 
-def fetch_pages(urls: DataFrame, get: Callable[[str], dict] = http_get) -> DataFrame:
-    """Rows of FETCHED for a table of urls; a page that can't be fetched has its error."""
+def fetch_pages(urls: DataFrame, get: Callable[[str], dict] = http_get, first_wait: float = 1.0) -> DataFrame:
+    """Rows of FETCHED for a table of urls; a page that can't be fetched in three tries has its error."""
 
     def run(parts):
         for p in parts:
             rows = []
             for url in p["url"]:
                 try:
-                    rows.append(with_retries(lambda url=url: get(url)) | {"error": None})
+                    rows.append(with_retries(lambda url=url: get(url), first_wait=first_wait) | {"error": None})
                 except Exception as e:
                     rows.append({"url": url, "error": f"{type(e).__name__}: {e}"})
             yield pd.DataFrame(rows, columns=["url", "html", "content_type", "content_length", "last_modified", "error"])
