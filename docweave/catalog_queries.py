@@ -20,27 +20,32 @@ from .operators import retrieval as R
 from .operators import tables as K
 from .operators.catalog import changed, from_iso, iso
 from .operators.embed import hashing_model, split_by_cache
-from .operators.vector_table import chunk_ids, from_payload, to_payload
+from .operators.vector_table import VectorTable, from_payload, to_payload
 from .plans import ingest as P
 from .sources.files import loader_of, mime_of
+from .sources import tables as T_
 from .sources.pages import load_pages
+from .storage import scratch
 from .streaming import ingest as S
 
 _QUERIES, _SQL = {}, {}
 
 
-def query(sql: str | None = None):
+def query(sql: str):
     def add(f):
         _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
+        _SQL[f.__name__] = sql
         return f
 
     return add
 
 
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+#: The key by which a large table is dealt out where its file can't be split.
+_SPREAD = {"documents": "doc_id", "pages": "page_id"}
+
+
+def table(spark: SparkSession, d: str, name: str, *by: str) -> DataFrame:
+    return T_.table(spark, d, name, *(by or filter(None, [_SPREAD.get(name)])))
 
 
 # Pieces of SQL.
@@ -128,7 +133,11 @@ def html_clean(spark, d):
     return table(spark, d, "pages").select("page_id", H.clean_html(F.col("html")).alias("content"))
 
 
-@query(rf"""SELECT page_id, {sql_strip("replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&')")} AS title FROM pages""")
+def sql_title(x):
+    return sql_strip(f"replace(replace(replace(replace(replace(regexp_extract({x}, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&')")
+
+
+@query(f"SELECT page_id, {sql_title('html')} AS title FROM pages")
 def html_title(spark, d):
     return table(spark, d, "pages").select("page_id", H.title(F.col("html")).alias("title"))
 
@@ -335,10 +344,17 @@ _CENT = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
 
 @query("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, lag(embedding::DOUBLE[]) OVER (ORDER BY vec_id) AS p FROM embeddings) SELECT vec_id, round(list_cosine_similarity(e, p), 6) AS cosine FROM v WHERE p IS NOT NULL")
 def cosine_pairs(spark, d):
-    """Each vector with that of the next smaller id: a self-join on dense ids, so nothing is sorted in one place."""
-    v = vectors(spark, d).select("vec_id", "vector")
-    before = v.select((F.col("vec_id") + 1).alias("vec_id"), F.col("vector").alias("p"))
-    return v.join(before, "vec_id").select("vec_id", F.round(V.cosine(F.col("vector"), F.col("p")), 6).alias("cosine"))
+    """Each vector with that of the next smaller id, whatever gaps there are.
+
+    Ids are dealt to blocks of a thousand, so that no task orders them all.  A block's first vector meets the last one of the
+    blocks before: that is found among one row for each block.
+    """
+    v = vectors(spark, d).select("vec_id", "vector", F.floor(F.col("vec_id") / 1000).alias("block"))
+    inside = v.withColumn("p", F.lag("vector").over(Window.partitionBy("block").orderBy("vec_id")))
+    # Blocks are a thousandth of the rows, and blocks of blocks would be a thousandth of these.
+    last = v.groupBy("block").agg(F.max_by("vector", "vec_id").alias("last")).withColumn("before", F.lag("last").over(Window.orderBy("block"))).select("block", "before")
+    rows = inside.join(last, "block").withColumn("p", F.coalesce("p", "before")).where("p is not null")
+    return rows.select("vec_id", F.round(V.cosine(F.col("vector"), F.col("p")), 6).alias("cosine"))
 
 
 @query("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT vec_id, round(list_cosine_similarity(e, list_transform(range(64), lambda i: 1.0::DOUBLE / (i + 1))), 6) AS score FROM v ORDER BY list_cosine_similarity(e, list_transform(range(64), lambda i: 1.0::DOUBLE / (i + 1))) DESC, vec_id LIMIT 20")
@@ -374,7 +390,7 @@ def timestamp_iso(spark, d):
 _POST = f"""tok AS (SELECT doc_id, {sql_tokens('text')} AS ts FROM documents), post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM tok) GROUP BY ALL),
 dl AS (SELECT doc_id, len(ts) AS dl FROM tok), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
 raw AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, st GROUP BY term),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN (SELECT avg(raw) * 0.25 FROM raw) ELSE raw END AS idf FROM raw)"""
+fl AS (SELECT avg(raw) * 0.25 AS fl FROM raw), idf AS (SELECT term, df, CASE WHEN raw < 0 THEN fl ELSE raw END AS idf FROM raw, fl)"""
 _ASK = f"qt AS (SELECT item_id AS query_id, term, count(*) AS qf FROM (SELECT item_id, unnest({sql_tokens('text')}) AS term FROM benchmark) GROUP BY ALL)"
 _SPARSE = """sc AS (SELECT query_id, doc_id, sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM qt JOIN post USING (term) JOIN idf USING (term) JOIN dl USING (doc_id), st GROUP BY ALL)"""
 
@@ -385,8 +401,8 @@ def _top_sql(src, k, name):
 
 @query(f"WITH {_POST} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_idf(spark, d):
-    rows = chunk_rows(spark, d)
-    return R.idf(R.postings(rows), R.corpus_stats(rows)).select("term", "df", F.round("idf", 6).alias("idf"))
+    words = R.vocabulary(chunk_rows(spark, d)).persist()
+    return R.idf(words, R.corpus_stats(words)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 _ONE = "qt AS (SELECT 0 AS query_id, unnest(['the', 'eder', 'license', 'the']) AS term), "
@@ -437,34 +453,35 @@ ms AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER w = min(score) OVER w
 fu AS (SELECT query_id, doc_id, coalesce(d, 0) AS d, coalesce(s, 0) AS s FROM mm FULL OUTER JOIN ms USING (query_id, doc_id))"""
 
 
-def _both(spark, d):
-    """Documents with vectors, queries with vectors, dense and sparse results."""
+def _embedded(spark, d):
+    """Documents and queries with vectors."""
     embed = hashing_model(64)
-    rows = chunk_rows(spark, d).withColumn("vector", embed(F.col("content")))
-    asks = items(spark, d).withColumn("vector", embed(F.col("text")))
-    dense = R.search_dense(rows, asks, 20)
-    return rows, asks, dense, R.BM25Index(rows.drop("vector")).search(asks, 20)
+    return chunk_rows(spark, d).withColumn("vector", embed(F.col("content"))), items(spark, d).withColumn("vector", embed(F.col("text")))
+
+
+def _both(spark, d):
+    """Dense and sparse results."""
+    rows, asks = _embedded(spark, d)
+    return R.search_dense(rows, asks, 20), R.BM25Index(rows.drop("vector")).search(asks, 20)
 
 
 @query(f"WITH {_SIDES}, {_FUSED} SELECT query_id, doc_id, round(0.5 * d + 0.5 * s, 5) AS score FROM fu")
 def hybrid_fuse(spark, d):
-    _, _, dense, sparse = _both(spark, d)
-    return R.fuse(dense, sparse).select("query_id", F.col("chunk_id").cast("long").alias("doc_id"), F.round("score", 5).alias("score"))
+    return R.fuse(*_both(spark, d)).select("query_id", F.col("chunk_id").cast("long").alias("doc_id"), F.round("score", 5).alias("score"))
 
 
 @query(f"WITH {_SIDES}, {_FUSED}, al AS (SELECT unnest([0.0, 0.25, 0.75, 1.0]::DOUBLE[]) AS alpha) SELECT alpha, query_id, round(avg(alpha * d + (1 - alpha) * s), 5) AS mean_score, count(*) AS n FROM fu, al GROUP BY alpha, query_id")
 def hybrid_alpha_sweep(spark, d):
-    _, _, dense, sparse = _both(spark, d)
-    dense, sparse = dense.persist(), sparse.persist()
-    parts = [R.fuse(dense, sparse, a).withColumn("alpha", F.lit(a)) for a in (0.0, 0.25, 0.75, 1.0)]
-    all_ = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    return all_.groupBy("alpha", "query_id").agg(F.round(F.avg("score"), 5).alias("mean_score"), F.count("*").alias("n"))
+    """Both sides are fused at alpha 1 and 0 once; other alphas lie between."""
+    dense, sparse = _both(spark, d)
+    sides = R.fused_sides(dense, sparse)
+    rows = sides.withColumn("alpha", F.explode(F.array(*map(F.lit, (0.0, 0.25, 0.75, 1.0)))))
+    return rows.groupBy("alpha", "query_id").agg(F.round(F.avg(R.blend(F.col("alpha"))), 5).alias("mean_score"), F.count("*").alias("n"))
 
 
 @query(f"WITH {_SIDES}, {_FUSED}, fs AS (SELECT query_id, doc_id, 0.5 * d + 0.5 * s AS score FROM fu), {_top_sql('fs', 20, 'r')}, {_RERANK} SELECT query_id, doc_id, round(rerank_score, 5) AS rerank_score FROM rr WHERE rank <= 5")
 def hybrid_retrieve(spark, d):
-    rows, asks, _, _ = _both(spark, d)
-    out = R.retrieve(rows, asks, 5)
+    out = R.retrieve(*_embedded(spark, d), 5)
     return out.select("query_id", F.col("chunk_id").cast("long").alias("doc_id"), F.round("rerank_score", 5).alias("rerank_score"))
 
 
@@ -510,32 +527,31 @@ def index_batch_counts(spark, d):
     return P.batch_counts(_changed(spark, d).select((~F.col("changed")).alias("skipped"), error.alias("error")))
 
 
-def _chunk_table(spark, d):
-    rows = C.chunk_recursive(documents(spark, d).withColumn("content_hash", T.content_hash(F.col("content"))), 128, 16)
-    return rows.withColumn("chunk_id", chunk_ids(F.col("kb"), F.col("source_uri"), F.col("content_hash"), F.col("chunk_index")))
+def chunk_table_rows(spark, d):
+    """Rows of the chunk table, small vectors in place of embeddings."""
+    rows = P.chunk(P.process(S.as_raw(table(spark, d, "documents"), "kb")), P.chunker("recursive", 128, 16))
+    return rows.withColumn("vector", F.array(F.col("chunk_index").cast("double"), F.lit(1.0))).withColumn("model_id", F.lit("old"))
 
 
 _CH = f"WITH RECURSIVE {_DOCS}, {_units_sql('docs', 128)}, {_fold_sql(128, 16)}, ch AS (SELECT id AS doc_id, count(*) AS n FROM (SELECT id, unnest(o) AS c FROM done) WHERE {sql_strip('c')} <> '' GROUP BY id)"
 
 
-@query(f"{_CH} SELECT doc_id, n AS n_chunks FROM ch WHERE NOT (doc_id % 5 = 0 OR doc_id % 7 = 0)")
+@query(f"{_CH} SELECT 'doc://' || doc_id AS source_uri, n AS n_chunks FROM ch WHERE NOT (doc_id % 5 = 0 OR doc_id % 7 = 0)")
 def stale_delete(spark, d):
     """Chunks that stay when those of changed sources go."""
     gone = _changed(spark, d).where("changed").select("source_uri")
-    return K.deleted(_chunk_table(spark, d), gone).groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
+    return K.deleted(chunk_table_rows(spark, d), gone).groupBy("source_uri").agg(F.count("*").alias("n_chunks"))
 
 
-@query(f"{_CH} SELECT doc_id, n AS n_chunks, CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE 'old' END AS model_id FROM ch")
+@query(f"{_CH} SELECT 'doc://' || doc_id AS source_uri, n AS n_chunks, CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE 'old' END AS model_id FROM ch")
 def upsert_chunks(spark, d):
-    """Chunks of a quarter of the documents are written again with another model."""
-    rows = _chunk_table(spark, d)
-    out = K.upserted(rows.withColumn("model_id", F.lit("old")), rows.where("doc_id % 4 = 0").withColumn("model_id", F.lit("new")), ["chunk_id"])
-    return out.groupBy("doc_id", "model_id").agg(F.count("*").alias("n_chunks")).select("doc_id", "n_chunks", "model_id")
-
-
-@query("SELECT source AS kb, sha256(text) AS content_hash FROM documents GROUP BY ALL")
-def existing_content_hashes(spark, d):
-    return documents(spark, d).select("kb", T.content_hash(F.col("content")).alias("content_hash")).distinct()
+    """Chunks of all documents in a vector table, those of a quarter written again with another model."""
+    chunks = VectorTable(spark, f"{scratch(spark)}/chunks")
+    chunks.ensure_collection("kb", 2)
+    chunks.upsert("kb", chunk_table_rows(spark, d))
+    old = chunks.read("kb")
+    chunks.upsert("kb", old.where(F.regexp_extract("source_uri", r"(\d+)$", 1).cast("long") % 4 == 0).withColumn("model_id", F.lit("new")))
+    return chunks.read("kb").groupBy("source_uri", "model_id").agg(F.count("*").alias("n_chunks")).select("source_uri", "n_chunks", "model_id")
 
 
 @query("SELECT source AS kb, count(*) AS n_documents, count(DISTINCT sha256(text)) AS n_contents, sum(length(text))::BIGINT AS n_chars FROM documents GROUP BY 1")
@@ -544,11 +560,6 @@ def kb_stats(spark, d):
     return docs.groupBy("kb").agg(F.count("*").alias("n_documents"), F.count_distinct("h").alias("n_contents"), F.sum("n").alias("n_chars"))
 
 
-@query("SELECT source AS id, min(doc_id) AS first_id FROM documents GROUP BY 1 ORDER BY 2, 1")
-def kb_list(spark, d):
-    return documents(spark, d).groupBy(F.col("kb").alias("id")).agg(F.min("doc_id").alias("first_id")).orderBy("first_id", "id")
-
-
 @query("SELECT 'doc://' || doc_id AS source_uri, source AS knowledge_base_id, 'txt' AS source_type, sha256(text) AS content_hash FROM documents")
 def payload_round_trip(spark, d):
     """Metadata flattened to payload columns and back."""
@@ -592,9 +603,15 @@ def prompt(spark, d):
     return A.prompts(items(spark, d), _results(spark, d)).select("query_id", "system", F.md5("user").alias("digest"))
 
 
-@query()
+@query(
+    f"""WITH {_RES}, ex AS (SELECT query_id, rank, lpad(doc_id::VARCHAR, 12, '0') AS chunk_id, doc_id::VARCHAR AS document_id, 'doc://' || doc_id AS source_uri, lang AS title, {sql_excerpt('text')} AS excerpt, round(score, 4) AS score FROM r JOIN documents USING (doc_id)),
+ci AS (SELECT query_id, list({{'chunk_id': chunk_id, 'document_id': document_id, 'source_uri': source_uri, 'title': title, 'excerpt': excerpt, 'score': score}} ORDER BY rank) AS c FROM ex GROUP BY query_id),
+w AS (SELECT query_id, string_split(excerpt, ' ') AS w FROM ex WHERE rank = 1),
+pc AS (SELECT query_id, unnest(range(len(w)))::INT AS seq, unnest(w) || ' ' AS text, false AS is_final FROM w UNION ALL SELECT query_id, len(w)::INT, '', true FROM w)
+SELECT query_id, seq, 'data: ' || to_json({{'text': text, 'is_final': is_final, 'citations': CASE WHEN is_final THEN c ELSE c[1:0] END}}) || chr(10) || chr(10) AS event FROM pc JOIN ci USING (query_id)"""
+)
 def sse_events(spark, d):
-    found = _results(spark, d)
+    found = _results(spark, d).withColumn("score", F.round("score", 4))
     return A.sse(A.events(A.extractive_pieces(found), A.citations(found)))
 
 

@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -33,3 +37,25 @@ def test_like_duckdb(spark, small, duck, name):
 def test_flagship(spark):
     rows = entry.entry(spark).collect()
     assert rows and all(len(r["excerpt"]) <= 243 for r in rows)
+
+
+BLOCKED = """
+import sys
+
+class Blocked:
+    def find_spec(self, name, path=None, target=None):
+        if name.split(".")[0] == "ahocorasick":
+            raise ModuleNotFoundError(name)
+
+sys.meta_path.insert(0, Blocked())
+import __spark_entry__ as entry
+
+names = entry.queries()
+assert len(names) > 80 and not any(n.startswith("op") or n == "pipeline" for n in names), sorted(names)
+assert set(entry.oracle_sql()) <= set(names)
+"""
+
+
+def test_a_missing_optional_package_leaves_the_core():
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", BLOCKED], cwd=root, check=True)
