@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..sources.tables import table
+from ..storage import Files, own_folder, scratch
+
 #: Rows turned into Python objects at once; an Arrow batch may hold far more.
 SLICE_ROWS = 128
 #: Bytes of an Arrow batch.
@@ -102,20 +105,6 @@ def map_rows(df: DataFrame, columns: list[str], schema: str | StructType, make:
     return df.select(*columns).mapInArrow(run, struct)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; one is set only where none is (tests on one machine)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        found = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-        folder = found
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file:///tmp/checkpoints/docweave"
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def keep(df: DataFrame) -> DataFrame:
     """Write df as Parquet under the shared folder and read it back.
 
@@ -123,19 +112,42 @@ def keep(df: DataFrame) -> DataFrame:
     table stays.  Files go away with ``forget``.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/docweave-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
+    if not _kept:
+        atexit.register(_at_exit, spark)
+    _kept.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path
     return out
 
 
+#: Paths of this session's kept tables, in the order that they were made.
+_kept: list[str] = []
+
+
+def _at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        forget(spark)
+
+
+def step(make: Callable[[], DataFrame]) -> DataFrame:
+    """Keep the table that make() returns, and delete what was kept on the way to it."""
+    before = len(_kept)
+    out = keep(make())
+    files = Files(out.sparkSession)
+    for path in _kept[before:-1]:
+        files.delete(path)
+    _kept[before:-1] = []
+    return out
+
+
 def discard(*tables: DataFrame, shuffles: bool = False) -> None:
     """Delete tables that ``keep`` has written, once nothing still to run reads them; with ``shuffles`` let go of shuffle files as well."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._kept_at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        Files(df.sparkSession).delete(df._kept_at)
+        with contextlib.suppress(ValueError):
+            _kept.remove(df._kept_at)
     if shuffles:
         release(tables[0].sparkSession)
 
@@ -147,10 +159,14 @@ def release(spark: SparkSession) -> None:
 
 
 def forget(spark: SparkSession) -> None:
-    """Delete all tables that ``keep`` has written in this application; results that read them must be stored before."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/docweave-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete all that this application has written to the shared folder (done at its exit too); results that read it must be stored before."""
+    Files(spark).delete(own_folder(spark))
+    _kept.clear()
+
+
+#: The key by which a table is dealt out where its file can't be split into as many tasks as there are cores.
+_SPREAD = {"documents": "doc_id", "conversations": "conv_id", "embeddings": "vec_id"}
 
 
-def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return table(spark, sf_dir, name, *filter(None, [_SPREAD.get(name)]))
