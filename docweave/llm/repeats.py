@@ -6,19 +6,25 @@ The question is which positions start a string of ``length`` bytes that also sta
 alone, each string holds one (a hash modulus could not promise that), and a text is parsed into
 phrases, one for each trigger, at about 2 / reach of its length.
 
-A string is then (suffix of a phrase up to its trigger) + (what the parse has after the trigger).  As in suffix sorting
-by prefix-free parsing, equal strings are found by combining names of the two parts instead of comparing texts:
-
-* the dictionary: the string right of a trigger that all its starts share gets a name.  A phrase whose name
-  occurs once is done, no start of it repeats; nearly all of a clean text ends here.
-* the parse in corpus order: phrases with one name are ordered by their whole context (from the first start
-  to the end of the last one's string).  Equal contexts stand side by side, and all starts of these repeat.
-* phrases between differing neighbours, at the edges of copied passages, are refined: a block of starts is halved
-  into blocks of an eighth, each with a name for what its starts share and one for its whole context, down to single
-  starts.
-
-A name is a hash of 64 bits where a clash only costs work, and of 128 bits where it decides.  "Corpus order" is a shuffle by name, since
-only equality of neighbours counts here; a total order would need a range sort and gives nothing more.
+A string is then (the end of a phrase, up to its trigger) + (what the parse has from the trigger on), and the order of all strings follows from
+two smaller ones, that of phrase ends and that of parse suffixes:
+
+* the dictionary: the string right of a trigger that all its starts share gives a phrase its name.  A phrase whose name
+  occurs once is done, no start of it repeats; nearly all of a clean text ends here.  The others are entries of the
+  dictionary, each with its context (from the first start to the end of the last one's string); entries with equal contexts are one,
+  and all starts of an entry that occurs more than once repeat.
+* suffix arrays: the entries of one name are sorted by what they have left of the trigger, read backwards (phrase ends), and by what they
+  have from the trigger on (parse suffixes); neighbours give the lengths of common parts.
+* corpus order: entries that share the last d bytes before the trigger are an interval of the first array; put in the order of the second,
+  they are the strings that begin d bytes before the trigger in the order of a suffix array of the corpus, and such a string
+  occurs again if and only if it shares its other ``length`` - d bytes with a neighbour.  All intervals are visited once, from the
+  tree that the common lengths span.
+
+The entries of a name are sorted in one task only where they are ``GROUP`` at most.  A name with more (the edge of a passage that very many
+texts share) is first split: starts are cut into blocks of 32, then 4, whose names are longer strings, and entries of a block's name are
+sorted in turn; a block of one start is a string by itself, and only its number of occurrences is left to count.
+
+A name is a hash of 64 bits where a clash only costs work, and of 128 bits where it decides.
 
 Passages of a number of words are found by the same parse: each word is put as a code of ``CODE`` bytes, so ``words`` words are a string of fixed
 length however short they are.  Only starts at a word count.
@@ -42,8 +48,8 @@ from pyspark.sql import functions as F
 
 from .common import discard, keep, map_rows, utf8
 
-#: Bytes of the rolling hash, starts parsed at once, block sizes of the refinement.
-WINDOW, CHUNK, BLOCKS = 8, 1 << 22, (32, 4, 1)
+#: Bytes of the rolling hash, starts parsed at once, entries of a name that are sorted in one task, block sizes where a name has more.
+WINDOW, CHUNK, GROUP, BLOCKS = 8, 1 << 22, 512, (32, 4, 1)
 #: Bytes that stand for a word: a sign of its own, so that codes match at words only, and 42 bits of a hash.
 CODE = 8
 #: A word: what is between ASCII white space, without ASCII signs at its ends.
@@ -119,9 +125,13 @@ def parse(df: DataFrame, length: int, text_col: str) -> DataFrame:
     return map_rows(df, [text_col], "key binary, t long, lo long, hi long, core long, h1 long, h2 long", make)
 
 
+_ENTRY = "key binary, t long, lo long, hi long, done boolean, core long, kinds long"
+
+
 def _contexts(open_: DataFrame, df: DataFrame, length: int, text_col: str) -> DataFrame:
-    """(key, t, lo, hi, done, ctx) for open phrases, ctx the bytes from the first start to the end of the last one's string."""
-    lists = open_.groupBy("key").agg(F.collect_list(F.struct("t", "lo", "hi", "done")).alias("p"))
+    """The entries open_ with ctx, the bytes from the first start to the end of the last one's string."""
+    names = ["t", "lo", "hi", "done", "core", "kinds"]
+    lists = open_.groupBy("key").agg(F.collect_list(F.struct(*names)).alias("p"))
     # One row for each text, joined by the key that it is already dealt by.
     texts = df.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text")).groupBy("key").agg(F.first("text").alias("text"))
 
@@ -130,16 +140,84 @@ def _contexts(open_: DataFrame, df: DataFrame, length: int, text_col: str) -> Da
             out = []
             for key, text, items in zip(keys, texts, many, strict=True):
                 data = utf8(text)
-                out += [(key, p["t"], p["lo"], p["hi"], p["done"], data[p["lo"] : p["hi"] + length]) for p in items]
-            return list(zip(*out, strict=True)) if out else [[]] * 6
+                out += [(key, *(p[n] for n in names), data[p["lo"] : p["hi"] + length]) for p in items]
+            return list(zip(*out, strict=True)) if out else [[]] * 8
+
+        return f
+
+    return map_rows(texts.join(lists, "key"), ["key", "text", "p"], f"{_ENTRY}, ctx binary", make)
+
+
+def common(a: bytes, b: bytes) -> int:
+    """Bytes that two strings begin with alike."""
+    n = min(len(a), len(b))
+    odd = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+    return n - (odd.bit_length() + 7) // 8
+
+
+def _array(strings: list[bytes]) -> tuple[list[int], list[int]]:
+    """The order of strings, and how many bytes each has in common with the one before it in that order."""
+    order = sorted(range(len(strings)), key=strings.__getitem__)
+    return order, [0, *(common(strings[a], strings[b]) for a, b in zip(order, order[1:], strict=False))]
+
+
+def intervals(shared: list[int]) -> Iterator[tuple[int, int, int, int]]:
+    """(first, last, least, most) for each interval of two or more neighbours that share ``most`` bytes and with no other more than ``least`` - 1."""
+    stack = [(0, -1)]  # first entry, bytes shared
+    for at in range(1, len(shared) + 1):
+        now = shared[at] if at < len(shared) else -1
+        first = at - 1
+        while stack[-1][1] > now:
+            first, most = stack.pop()
+            yield first, at - 1, max(stack[-1][1], now) + 1, most
+        if stack[-1][1] < now:
+            stack.append((first, now))
+
+
+def sorted_starts(entries: list[tuple[int, int, int, bool, bytes]], length: int) -> list[tuple[int, int, int]]:
+    """(entry, first start, last start) of strings that another entry holds too.
+
+    entries: (t, lo, hi, done, ctx) of one name, with unlike contexts.  done: its starts are known to repeat, it only serves others.
+    """
+    lefts = [ctx[: t - lo][::-1] for t, lo, _, _, ctx in entries]
+    rights = [ctx[t - lo :] for t, lo, _, _, ctx in entries]
+    ends, shared = _array(lefts)
+    suffixes, overlap = _array(rights)
+    rank = [0] * len(entries)
+    for place, x in enumerate(suffixes):
+        rank[x] = place
+    out = []
+    for first, last, least, most in intervals(shared):
+        members = sorted(ends[first : last + 1], key=rank.__getitem__)
+        places = [rank[x] for x in members]
+        near = [min(overlap[a + 1 : b + 1]) for a, b in zip(places, places[1:], strict=False)]
+        for x, before, after in zip(members, [0, *near], [*near, 0], strict=True):
+            t, lo, hi, done, _ = entries[x]
+            # depths: bytes before the trigger
+            a, b = max(least, length - max(before, after), t - hi), min(most, t - lo)
+            if a <= b and not done:
+                out.append((x, t - b, t - a))
+    return out
+
+
+def _sorted(entries: DataFrame, length: int) -> DataFrame:
+    """(key, lo, hi) of starts that repeat among entries of names with at most ``GROUP`` entries each."""
+    groups = entries.groupBy("core").agg(F.collect_list(F.struct("key", "t", "lo", "hi", "done", "ctx")).alias("m"))
+
+    def make():
+        def f(many):
+            out = []
+            for m in many:
+                out += [(m[x]["key"], lo, hi) for x, lo, hi in sorted_starts([(e["t"], e["lo"], e["hi"], e["done"], e["ctx"]) for e in m], length)]
+            return list(zip(*out, strict=True)) if out else [[]] * 3
 
         return f
 
-    return map_rows(texts.join(lists, "key"), ["key", "text", "p"], "key binary, t long, lo long, hi long, done boolean, ctx binary", make)
+    return map_rows(groups, ["m"], "key binary, lo long, hi long", make)
 
 
 def _blocks(contexts: DataFrame, length: int, block: int) -> DataFrame:
-    """Cut the starts of each context into blocks, at multiples of ``block`` counted from the trigger; names and contexts as for phrases."""
+    """Cut the starts of each entry into blocks, at multiples of ``block`` counted from the trigger; a block's trigger is its start next to that."""
 
     def make():
         def f(keys, ts, los, his, dones, ctxs):
@@ -147,10 +225,10 @@ def _blocks(contexts: DataFrame, length: int, block: int) -> DataFrame:
             for key, t, lo, hi, done, ctx in zip(keys, ts, los, his, dones, ctxs, strict=True):
                 for j in range((t - hi) // block, (t - lo) // block + 1):
                     a, b = max(lo, t - block * j - block + 1), min(hi, t - block * j)
-                    near = t - block * j  # the start of the block that is next to the trigger
+                    near = t - block * j
                     core = _name(ctx[near - lo : near - lo + length - block + 1])
                     sub = ctx[a - lo : b - lo + length]
-                    out.append((key, t, a, b, done, core, *_pair(xxhash.xxh3_128_digest(sub)), sub))
+                    out.append((key, near, a, b, done, core, *_pair(xxhash.xxh3_128_digest(sub)), sub))
             return list(zip(*out, strict=True)) if out else [[]] * 9
 
         return f
@@ -168,29 +246,33 @@ def repeated_starts(df: DataFrame, length: int, text_col: str = "text") -> list[
     twice = keep(contexts.where("n > 1").select("h1", "h2").distinct())
     found = [keep(live.join(twice, ["h1", "h2"], "left_semi").select("key", "lo", "hi").distinct())]
     discard(live, names, twice, shuffles=True)
-    mixed = contexts.groupBy("core").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("core")
-    open_ = keep(contexts.join(mixed, "core").select("p.*", (F.col("n") > 1).alias("done")))
-    discard(contexts, shuffles=True)
-    now = keep(_contexts(open_, df, length, text_col))
+    mixed = keep(contexts.groupBy("core").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("core", "kinds"))
+    open_ = keep(contexts.join(mixed, "core").select("p.*", (F.col("n") > 1).alias("done"), "core", "kinds"))
+    discard(contexts, mixed, shuffles=True)
+    entries = keep(_contexts(open_, df, length, text_col))
     discard(open_, shuffles=True)
+    found.append(keep(_sorted(entries.where(F.col("kinds") <= GROUP), length)))
     for block in (b for b in BLOCKS if 2 * b <= length):
-        # done: the starts are known to repeat; they only serve others as partners
-        cut = _blocks(now, length, block)
-        cut = keep(cut if block > 1 else cut.drop("ctx"))
-        discard(now, shuffles=True)
-        slim = cut.drop("ctx") if block > 1 else cut
+        many = entries.where(F.col("kinds") > GROUP)
+        if many.isEmpty():
+            break
+        cut = keep(_blocks(many, length, block))
+        discard(entries, shuffles=True)
+        slim = cut.drop("ctx")
         names = keep(slim.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
         some = keep(slim.join(names, "core"))
         kinds = keep(some.groupBy("core", "h1", "h2").agg(F.count("*").alias("n"), F.max("done").alias("any"), F.min(F.struct("key", "t", "lo", "hi")).alias("p")))
         twice = keep(kinds.where("n > 1").select("h1", "h2").distinct())
         found.append(keep(some.where("not done").join(twice, ["h1", "h2"], "left_semi").select("key", "lo", "hi")))
         discard(some, names, twice)
-        if block > 1:
-            settled = F.col("any") | (F.col("n") > 1)
-            mixed = kinds.groupBy("core").agg(F.count("*").alias("kinds"), F.min(settled).alias("all")).where("kinds > 1 and not all").select("core")
-            rest = kinds.join(mixed, "core").select("p.key", "p.t", "p.lo", "p.hi", settled.alias("settled"))
-            now = keep(cut.drop("done").join(rest, ["key", "t", "lo", "hi"]).select("key", "t", "lo", "hi", F.col("settled").alias("done"), "ctx"))
-        discard(cut, kinds, shuffles=True)
+        settled = F.col("any") | (F.col("n") > 1)
+        mixed = keep(kinds.groupBy("core").agg(F.count("*").alias("kinds"), F.min(settled).alias("all")).where("kinds > 1 and not all").select("core", "kinds"))
+        rest = kinds.join(mixed, "core").select("p.key", "p.t", "p.lo", "p.hi", settled.alias("settled"), "kinds")
+        # A block of one start has one kind, so after the last size nothing is left.
+        entries = keep(cut.drop("done").join(rest, ["key", "t", "lo", "hi"]).select("key", "t", "lo", "hi", F.col("settled").alias("done"), "core", "kinds", "ctx"))
+        discard(cut, kinds, mixed, shuffles=True)
+        found.append(keep(_sorted(entries.where(F.col("kinds") <= GROUP), length)))
+    discard(entries)
     return found
 
 
@@ -323,6 +405,9 @@ def without_repeats(df: DataFrame, length: int = 400, text_col: str = "text", wo
                 out.append(kept_bytes(data, runs).decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
-    marked = with_repeats(df, length, text_col, words=words)
+    # The row travels as one column, whatever its columns are called.
+    rows = df.select(F.struct("*").alias("__row"), F.col(text_col).alias("__text"))
+    marked = with_repeats(rows, length, "__text", words=words)
     by_words = F.col("__repeats_words") if words else F.lit(None).cast("array<long>")
-    return marked.select(*(cut(F.col(text_col), F.col("__repeats"), by_words).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns))
+    left = cut(F.col("__text"), F.col("__repeats"), by_words)
+    return marked.select(*(left.alias(c) if c == text_col else F.col("__row").getField(c).alias(c) for c in df.columns))
