@@ -3,19 +3,19 @@
 A document's set is its distinct word shingles.  Equal sets are one class.  Each class has a MinHash signature.
 In each of several independent trees a class starts at the root; at a node it is sent to a few children,
 each named by a coordinate, which the tree and the node choose, and by its MinHash there.  Two classes with similarity s
-meet in a child with probability s for each chosen coordinate; 1/threshold coordinates are chosen on average,
-so the branching process of a linked pair survives, and unlike classes part at once.  A node of one class ends;
-a node of up to ``SMALL`` classes compares all of its classes; a larger one branches on, down to ``DEPTH``.
+meet in a child with probability s for each chosen coordinate; 1/threshold coordinates are chosen on average, and ``GROW`` times
+that below the first levels, so the branching process of a linked pair survives, and unlike classes part at once.
+A node of one class ends; a node of up to ``SMALL`` classes compares all of its classes; a larger one branches on.
 
 Every node, small or large, first compares its classes with one of them, the pivot: as many comparisons as
 classes.  What this confirms is gathered into components, and links inside one add nothing more.  So a node of one
-component is done; where few classes are outside a node's largest component, these are compared with all of it, block by
-block (so are dense nodes and those still large at the last level); only other nodes branch on.  A group of
-many near copies then costs what it has members, and no candidate is dropped.
+component is done, and a node with at most ``SEEKERS`` classes outside its largest component compares these with all of it, block by
+block: work in proportion to the node.  Only other nodes branch on, two levels for each look.  What is still large after the
+last look is compared in the same way, so no candidate is dropped.  A group of many near copies costs what it has members.
 Every link is confirmed on full sets: |A and B| * 100 >= |A or B| * percent.
 
-Recall, simulated: ten trees miss a pair at the threshold (0.8 or 0.85) with probability about 1e-5 after the two levels that are taken
-at once, and 1e-3 where nodes are so full that three more are needed; pairs above the threshold are missed far less often.
+Recall (``tests/llm`` measures it): ten trees miss a pair at the threshold with probability below 1e-4 after the two levels that are taken
+at once, and about 2e-3 where nodes are so full that all levels are needed; pairs above the threshold are missed far less often.
 
 Defined results: null or empty texts, and such without words, have an empty set and no links; rows with a null doc_id take
 no part, and have component_id null and kept true; rows that share a doc_id link their texts, and each is returned;
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 
 import numpy as np
 import xxhash
@@ -36,13 +37,16 @@ from .common import Memo, discard, hold, keep, map_rows, release, utf8
 from .components import components
 from .repeats import text_key
 
-#: Coordinates of a signature; independent trees; levels taken at once from the root; looks at nodes, a level apart; classes of a small node at
-#: most; classes of a block of texts, and of a block of sketches; hashes of a bottom sketch.
-COORDINATES, TREES, START, DEPTH, SMALL, BLOCK, SKETCHES, BOTTOM = 64, 10, 2, 4, 48, 96, 1024, 256
+#: Coordinates of a signature; independent trees; levels taken at once from the root; looks at nodes, ``STEP`` levels apart.
+COORDINATES, TREES, START, DEPTH, STEP = 64, 10, 2, 5, 2
+#: Classes of a small node, and classes outside the largest component that a node compares; of a block of texts, and of a block of sketches; hashes of a bottom sketch.
+SMALL, SEEKERS, BLOCK, SKETCHES, BOTTOM = 48, 512, 96, 1024, 256
+#: Factor of the branching below the first levels.
+GROW = 1.25
 #: Words that a worker remembers the hash of.
 WORDS = 200_000
-#: A pair whose signatures agree in a lower share can't be above the threshold but with probability 1e-7 (five and a half deviations).
-SLACK = 0.245
+#: The chance that a sketch rules out a pair at the threshold.
+RISK = 1e-7
 _words = Memo(WORDS)
 _U = np.uint64
 
@@ -106,15 +110,15 @@ def _roots() -> np.ndarray:
     return _mix(np.arange(1, TREES + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 
 
-def branch(nodes: np.ndarray, who: np.ndarray, sigs: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def branch(nodes: np.ndarray, who: np.ndarray, sigs: np.ndarray, threshold: float, grow: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """Children of nodes for the classes there (rows of sigs).
 
-    A node chooses one coordinate or, so often that the mean is 1/threshold, two; a child is named by node, coordinate and the MinHash there.
+    A node chooses one coordinate or, so often that the mean is grow/threshold, two; a child is named by node, coordinate and the MinHash there.
     """
     h = _mix(nodes + _U(0x632BE59BD9B4E019))
     first = (h % _U(COORDINATES)).astype(np.int64)
     second = (first + 1 + ((h >> _U(24)) % _U(COORDINATES - 1)).astype(np.int64)) % COORDINATES
-    two = ((h >> _U(8)) & _U(0xFFFF)).astype(np.float64) < (1 / threshold - 1) * 65536
+    two = ((h >> _U(8)) & _U(0xFFFF)).astype(np.float64) < (grow / threshold - 1) * 65536
 
     def child(pick: np.ndarray, coordinate: np.ndarray) -> np.ndarray:
         name = (coordinate[pick].astype(np.uint64) << _U(32)) | sigs[who[pick], coordinate[pick]].astype(np.uint64)
@@ -128,13 +132,24 @@ def _stacked(sigs: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(sigs), np.uint32).reshape(len(sigs), COORDINATES)
 
 
+@functools.cache
+def least_agreeing(threshold: float) -> int:
+    """Coordinates in which two signatures agree at least, but with a chance of ``RISK`` for a pair at the threshold."""
+    chance = 0.0
+    for n in range(COORDINATES + 1):
+        chance += math.comb(COORDINATES, n) * threshold**n * (1 - threshold) ** (COORDINATES - n)
+        if chance > RISK:
+            return n
+    return COORDINATES
+
+
 def bottom(shingles: np.ndarray) -> bytes:
     """The smallest hashes of a set, 32 bits each: all of a small set, a uniform sample of a large one."""
     return (shingles[:BOTTOM] >> _U(32)).astype(np.uint32).tobytes()
 
 
 def bottom_alike(own: np.ndarray, own_n: int, others: list[np.ndarray], sizes: np.ndarray, threshold: float) -> np.ndarray:
-    """For each other set: False only where the smallest hashes rule a link out (certain for small sets, five deviations for samples)."""
+    """For each other set: False only where the smallest hashes rule a link out (certain for small sets, for samples but with a chance of about ``RISK``)."""
     top = np.uint32(0xFFFFFFFF)
     reach = np.array([x[-1] if n > BOTTOM else top for x, n in zip(others, sizes, strict=True)], np.uint32)
     if own_n > BOTTOM:
@@ -145,7 +160,8 @@ def bottom_alike(own: np.ndarray, own_n: int, others: list[np.ndarray], sizes: n
     at = np.minimum(np.searchsorted(own, values), len(own) - 1)
     both = np.bincount(owner[inside & (own[at] == values)], minlength=len(others))
     union = np.bincount(owner[inside], minlength=len(others)) + np.searchsorted(own, reach, side="right") - both
-    margin = np.where((sizes > BOTTOM) | (own_n > BOTTOM), 0.12, 0.01)
+    deviations = 5.4 * math.sqrt(threshold * (1 - threshold) / BOTTOM)
+    margin = np.where((sizes > BOTTOM) | (own_n > BOTTOM), deviations, 0.01)
     return both >= (threshold - margin) * union
 
 
@@ -176,7 +192,7 @@ def _descend(level: DataFrame, threshold: float, steps: int, roots: bool = False
             if roots:
                 nodes, who = np.tile(_roots(), len(cids)), np.repeat(who, TREES)
             for _ in range(steps):
-                nodes, who = branch(nodes, who, sigs, threshold)
+                nodes, who = branch(nodes, who, sigs, threshold, 1.0 if roots else GROW)
             return nodes.view(np.int64), cids[who]
 
         return f
@@ -184,19 +200,22 @@ def _descend(level: DataFrame, threshold: float, steps: int, roots: bool = False
     return map_rows(level, ["cid", "sig"] if roots else ["node", "cid", "sig"], "node long, cid long", make)
 
 
-def _sized(members: DataFrame) -> DataFrame:
-    """Members of nodes with two classes or more, with their node's size and its smallest class, the pivot.
+def _sized(members: DataFrame, first: bool = False) -> DataFrame:
+    """Members of nodes with two classes or more, with their node's size and its pivot.
+
+    The first pivots are the smallest classes, so that the nodes of one group agree on theirs; later ones are chosen by the node's name,
+    since classes outside the pivot's component have been compared with the smallest one.
 
     Sizes are kept as a table of their own, so that in the join Spark can split a node that very many classes share.
     """
     members = keep(members)
-    sizes = keep(members.groupBy("node").agg(F.count("*").alias("size"), F.min("cid").alias("pivot")).where("size > 1"))
+    sizes = keep(members.groupBy("node").agg(F.count("*").alias("size"), F.min(F.struct(F.lit(0) if first else F.xxhash64("node", "cid"), "cid")).alias("p")).where("size > 1").select("node", "size", F.col("p.cid").alias("pivot")))
     return members.join(sizes, "node")
 
 
 def alike(sig_a: bytes, sig_b: bytes, threshold: float) -> bool:
     """False only where the sketches rule a link out."""
-    return (np.frombuffer(sig_a, np.uint32) == np.frombuffer(sig_b, np.uint32)).mean() >= threshold - SLACK
+    return int((np.frombuffer(sig_a, np.uint32) == np.frombuffer(sig_b, np.uint32)).sum()) >= least_agreeing(threshold)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -303,7 +322,7 @@ def _across(named: DataFrame, nodes: DataFrame, active: DataFrame, threshold: fl
                 comps, sizes, ids = (np.array([x[k] for x in have]) for k in ("comp", "n", "cid"))
                 lows = [np.frombuffer(x["low"], np.uint32) for x in have]
                 for i, x in enumerate(ask):
-                    near = (sigs == asked[i]).mean(1) >= threshold - SLACK
+                    near = (sigs == asked[i]).sum(1) >= least_agreeing(threshold)
                     near &= (np.minimum(sizes, x["n"]) >= threshold * np.maximum(sizes, x["n"]) - 1e-9) & (comps != x["comp"])
                     some = np.flatnonzero(near)
                     some = some[~np.isin(lesser[some], [v for v in x["at"] if v < name]).any(1)]
@@ -330,7 +349,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     # A class has a number of its own, since an id with several texts may be the smallest of several classes.
     least = some.groupBy("set_hash").agg(F.min(F.struct("doc", "text_key")).alias("least"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     classes = keep(least.select(F.monotonically_increasing_id().alias("cid"), "set_hash", F.col("least.doc").alias("least"), F.col("least.text_key").alias("text_key"), "n", "sig"))
-    level = keep(_sized(_descend(classes, threshold, START, roots=True)))
+    level = keep(_sized(_descend(classes, threshold, START, roots=True), first=True))
     wanted = level.select("cid").distinct().join(classes.select("cid", F.col("least").alias("doc"), "text_key"), "cid")
     keyed = docs.where("doc is not null").withColumn("text_key", text_key(F.col("text")))
     texts = keyed.join(wanted, ["doc", "text_key"]).groupBy("cid").agg(F.min("text").alias("text"))
@@ -338,20 +357,18 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     release(df.sparkSession)
     links, comp = [], df.sparkSession.createDataFrame([], "id long, component long")
     for depth in range(DEPTH):
-        own, other = comp.select(F.col("id").alias("cid"), F.col("component").alias("x")), comp.select(F.col("id").alias("pivot"), F.col("component").alias("y"))
-        new = level.where("cid <> pivot").select("cid", "pivot").distinct()
+        own, other = (comp.select(F.col("id").alias(end), F.col("component").alias(f"of_{end}")) for end in "ab")
+        new = level.where("cid <> pivot").select(F.least("pivot", "cid").alias("a"), F.greatest("pivot", "cid").alias("b")).distinct()
         if depth:
-            new = new.join(own, "cid", "left").join(other, "pivot", "left").where("coalesce(x, cid) <> coalesce(y, pivot)")
-        new = _sketched(new.select(F.col("pivot").alias("a"), F.col("cid").alias("b")), active, percent)
+            new = new.join(own, "a", "left").join(other, "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
+        new = _sketched(new, active, percent)
         links.append(_confirm(new, active, width, percent))
         discard(new)
         comp = keep(components(_union(links)))
         named, nodes = _mixed(level, comp)
         nodes = keep(nodes)
         named = keep(named.join(nodes.select("node"), "node", "left_semi"))
-        # Where a quarter is one component, texts are too alike for branching to part them.
-        dense = (F.col("minor") <= SMALL) | (F.col("minor") <= 0.75 * F.col("size"))
-        ready = nodes if depth == DEPTH - 1 else nodes.where((F.col("size") <= SMALL) | dense)
+        ready = nodes if depth == DEPTH - 1 else nodes.where((F.col("size") <= SMALL) | (F.col("minor") <= SEEKERS))
         pairs = keep(_across(named, ready, active, threshold))
         if fresh := not pairs.isEmpty():
             links.append(_confirm(pairs, active, width, percent))
@@ -359,7 +376,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
         discard(level, shuffles=True)
         if depth == DEPTH - 1 or large.isEmpty():
             break
-        level = keep(_sized(_descend(large.select("node", "cid").join(active.select("cid", "sig"), "cid"), threshold, 1)))
+        level = keep(_sized(_descend(large.select("node", "cid").join(active.select("cid", "sig"), "cid"), threshold, STEP)))
     discard(active, shuffles=True)
     # Rows that share an id may be in several classes, which it links.
     own = some.select("doc", "set_hash").join(classes.select("set_hash", "cid"), "set_hash").select("doc", "cid")
