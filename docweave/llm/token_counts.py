@@ -12,10 +12,14 @@ an empty table gives an empty table; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import pickle
 from collections import Counter
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .common import Memo, hold, map_rows, utf8
 from .pretokens import Splitter, library
@@ -116,3 +120,30 @@ def count_tokens(df: DataFrame, tokenizer_json: str, pattern: str, id_col: str =
 
     kind = df.schema[id_col].dataType.simpleString()
     return map_rows(df, [id_col, text_col], f"{id_col} {kind}, n_bytes long, n_tokens long, over_limit boolean", make)
+
+
+@functools.cache
+def _ranks(path: str, pattern: str):
+    """The vocabulary of a rank file, one for each worker."""
+    import base64
+
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def library_tokens(text: Column, ranks: str, pattern: str) -> Column:
+    """The number of tokens of each text by a rank file, special strings as ordinary text; null texts have none.
+
+    A column for operators that weigh rows by their tokens: the compiled library counts them in the pass that needs them.
+    """
+
+    @F.pandas_udf("long")
+    def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = _ranks(ranks, pattern).encode_ordinary
+        for texts in parts:
+            yield pd.Series([len(encode(t)) if t else 0 for t in texts], index=texts.index, dtype="int64")
+
+    return count(text)
