@@ -39,8 +39,28 @@ SENTENCES = {
     "bsd-3": ["redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"],
     "bsd-4": ["neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
     "isc-1": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
+    "0bsd-1": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
+    "isc-2": ["the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"],
+    "isc-3": ["in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"],
+    "bsd-5": ["this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"],
+    "bsd-6": ["in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"],
     "unlicense-1": ["this is free and unencumbered software released into the public domain"],
+    "unlicense-2": ["anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non-commercial and by any means"],
     "mpl-1": ["this source code form is subject to the terms of the mozilla public license v. 2.0"],
+    "mpl-2": ["if a copy of the mpl was not distributed with this file you can obtain one at"],
+    "lgpl3-1": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version", "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "lgpl21-1": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version"],
+    "lgpl-2": ["this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
+    "lgpl-3": ["see the gnu lesser general public license for more details"],
+    "lgpl-4": ["you should have received a copy of the gnu lesser general public license along with this library", "you should have received a copy of the gnu lesser general public license along with this program"],
+    "agpl3-1": ["this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "agpl-3": ["see the gnu affero general public license for more details"],
+    "agpl-4": ["you should have received a copy of the gnu affero general public license along with this program"],
+    "epl2-1": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at", "this program and the accompanying materials are made available under the terms of the eclipse public license v. 2.0 which is available at"],
+    "bsl-1": ["distributed under the boost software license version 1.0"],
+    "zlib-1": ["this software is provided as-is without any express or implied warranty"],
+    "zlib-2": ["in no event will the authors be held liable for any damages arising from the use of this software"],
+    "zlib-3": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"],
     "ccbync-1": ["licensed under cc by-nc 4.0", "this work is licensed under a creative commons attribution-noncommercial 4.0 international license"],
     "ccby-1": ["licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license"],
     "ccbysa-1": ["licensed under cc by-sa 4.0", "this work is licensed under a creative commons attribution-sharealike 4.0 international license"],
@@ -53,12 +73,28 @@ RULES = (
     ("MIT", ("mit-2", "mit-3", "mit-4", "mit-5")),
     ("GPL-3.0-or-later", ("gpl3-1", "gpl-2", "gpl-3", "gpl-4")),
     ("GPL-2.0-or-later", ("gpl2-1", "gpl-2", "gpl-3", "gpl-4")),
+    ("LGPL-3.0-or-later", ("lgpl3-1", "lgpl-2", "lgpl-3", "lgpl-4")),
+    ("LGPL-3.0-or-later", ("lgpl3-1", "gpl-2", "lgpl-3", "lgpl-4")),
+    ("LGPL-2.1-or-later", ("lgpl21-1", "lgpl-2", "lgpl-3", "lgpl-4")),
+    ("AGPL-3.0-or-later", ("agpl3-1", "gpl-2", "agpl-3", "agpl-4")),
+    ("BSD-3-Clause", ("bsd-1", "bsd-2", "bsd-3", "bsd-4", "bsd-5", "bsd-6")),
+    ("BSD-2-Clause", ("bsd-1", "bsd-2", "bsd-3", "bsd-5", "bsd-6")),
     ("BSD-3-Clause", ("bsd-1", "bsd-2", "bsd-3", "bsd-4")),
     ("BSD-2-Clause", ("bsd-1", "bsd-2", "bsd-3")),
+    ("ISC", ("isc-1", "isc-2", "isc-3")),
+    ("0BSD", ("0bsd-1", "isc-2", "isc-3")),
+    ("Zlib", ("zlib-1", "zlib-2", "zlib-3")),
+    ("Unlicense", ("unlicense-1", "unlicense-2")),
+    ("MPL-2.0", ("mpl-1", "mpl-2")),
     ("Apache-2.0", ("apache-1",)),
     ("MIT", ("mit-1",)),
     ("GPL-3.0", ("gpl3-1",)),
     ("GPL-2.0", ("gpl2-1",)),
+    ("LGPL-3.0", ("lgpl3-1",)),
+    ("LGPL-2.1", ("lgpl21-1",)),
+    ("AGPL-3.0", ("agpl3-1",)),
+    ("EPL-2.0", ("epl2-1",)),
+    ("BSL-1.0", ("bsl-1",)),
     ("ISC", ("isc-1",)),
     ("Unlicense", ("unlicense-1",)),
     ("MPL-2.0", ("mpl-1",)),
@@ -81,6 +117,20 @@ def marked(text: Column) -> Column:
     return F.regexp_replace(out, r"^[ .+\-\n\f]++|(?<![ .+\-\n\f])[ .+\-\n\f]++$", "")
 
 
+def unreachable() -> list[str]:
+    """What no text can match: sentences out of normal form or given to two identifiers, identifiers in rules that no sentence has, rules behind a shorter part of theirs."""
+    every = [s for many in SENTENCES.values() for s in many]
+    word = r"[^\W_](?:[^\W_]|[.+\-](?=[^\W_]))*"
+    odd = [s for s in every if s != s.lower() or not re.fullmatch(rf"{word}(?:\.? {word})*", s) or every.count(s) > 1]
+    odd += [i for _, rule in RULES for i in rule if i not in SENTENCES]
+    inside = lambda a, b: f" {' '.join(a)} " in f" {' '.join(b)} "
+    return odd + [" ".join(b) for n, (_, b) in enumerate(RULES) if any(inside(a, b) for _, a in RULES[:n])]
+
+
+if found := unreachable():
+    raise ValueError(f"these can never match: {found}")
+
+
 def _plain(sentence: str) -> str:
     return sentence.replace(". ", " ")
 
