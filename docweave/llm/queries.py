@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, byte_bpe, chat_format, license_scan, media_ts, mixing, near_dedup, quality, repeats, token_counts
-from .common import load
+from .common import keep, load, small_batches
 
 JSON, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
@@ -25,9 +27,18 @@ def domain() -> Column:
     return F.when(F.col("source").isin("src0", "src1", "src2", "src3", "src4"), "core").otherwise("wide")
 
 
+#: The mixture: a budget of four fifths of all tokens, each leaf at most four times.
+MIXTURE = {"share": 0.8, "max_epochs": 4, "seed": 11}
+
+
+def tokens() -> Column:
+    return token_counts.library_tokens(F.col("text"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
 def mixture(docs: DataFrame) -> DataFrame:
-    """docs with n_tokens and n_copies: a budget of four fifths of all tokens, each leaf at most four times."""
-    return mixing.mix(docs, [domain(), F.col("lang"), F.col("source")], TREE, share=0.8, max_epochs=4, seed=11, copies_col="mix_copies", tokens_col="mix_tokens")
+    """docs with mix_copies: how often each row is taken."""
+    small_batches(docs.sparkSession)
+    return mixing.mix(docs, [domain(), F.col("lang"), F.col("source")], TREE, tokens(), copies_col="mix_copies", **MIXTURE)
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,8 +46,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixture(load(spark, sf_dir, "documents"))
-    return out.select("doc_id", "lang", "source", domain().alias("domain"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_copies").alias("n_copies"))
+    """Texts are read once, for their tokens; the mixture works on what is kept of each row."""
+    small_batches(spark)
+    slim = keep(load(spark, sf_dir, "documents").select("doc_id", "lang", "source", domain().alias("domain"), tokens().alias("n_tokens")))
+    out = mixing.mix(slim, [F.col("domain"), F.col("lang"), F.col("source")], TREE, F.col("n_tokens"), **MIXTURE)
+    return out.select("doc_id", "lang", "source", "domain", "n_tokens", "n_copies")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,5 +122,48 @@ SELECT doc_id, n AS n_sentences, ids AS sentence_ids, array_to_string(list_filte
 FROM {at}"""
 
 
+#: Strings of 400 bytes as hex, by a hash; starts that come twice; runs of covered bytes; what is left.
+_REPEATS_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT r, i, md5(substr(h, 2 * i + 1, 800)) AS m FROM (SELECT r, h, unnest(range(greatest(length(h) // 2 - 399, 0))) AS i FROM d)),
+t AS (SELECT r, i FROM s WHERE m IN (SELECT m FROM s GROUP BY m HAVING count(*) > 1)),
+g AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM t),
+u AS (SELECT r, i, sum(CASE WHEN p IS NULL OR i > p + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS run FROM g),
+c AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM u GROUP BY r, run),
+k AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS before FROM c),
+left_ AS (SELECT r, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(b) AS last, sum(b - a) AS gone, count(*) AS runs FROM k JOIN d USING (r) GROUP BY r)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(runs, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN left_ USING (r)"""
+
+#: Turns in order; control strings in texts are counted, since each gets one character more.
+def _chat_sql() -> str:
+    marks = "|".join(re.escape(c[0]) + r"\\*" + re.escape(c[1:]) for c in sorted(chat_format.CONTROLS, key=len, reverse=True))
+    wraps = {"assistant": (chat_format.BEGIN, chat_format.END), "user": (chat_format.USER, chat_format.USER_END), "system": (chat_format.SYSTEM, chat_format.SYSTEM_END)}
+    wrap = " ".join(f"WHEN '{role}' THEN {len(a + b)}" for role, (a, b) in wraps.items())
+    other = len(chat_format.ROLE + chat_format.ROLE_END + chat_format.END)
+    return f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(text) + len(regexp_extract_all(text, '{marks}')) + CASE role {wrap} ELSE {other} + length(role) + len(regexp_extract_all(role, '{marks}')) END AS chars, role = 'assistant' AS loss FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (loss), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (loss), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+
+#: Shingle sets by an inverted list, links, and the smallest id that each reaches.
+_NEAR_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 2], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, least(len(w), 1)) + 1)) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT DISTINCT a AS id, a AS other FROM e UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.other),
+least_ AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(component_id, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least_ ON least_.id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": _license_sql()}
+    return {"op4_license_scan": _license_sql(), "op6_repeats": _REPEATS_SQL, "op8_chat": _chat_sql(), "op9_near_dedup": _NEAR_SQL}

@@ -195,11 +195,81 @@ License, v. 2.0. If a copy of the MPL was not distributed with this
 file, You can obtain one at https://mozilla.org/MPL/2.0/."""
 
 
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
+OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE."""
+DISCLAIMER = """
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details.
+
+You should have received a copy of the GNU Lesser General Public
+License along with this library; if not, write to the Free Software
+Foundation, Inc."""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty.  In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:"""
+EPL = """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/"""
+BOOST = """Distributed under the Boost Software License, Version 1.0.
+(See accompanying file LICENSE_1_0.txt or copy at
+https://www.boost.org/LICENSE_1_0.txt)"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means."""
+
+
+def test_all_sentences_can_match(spark, monkeypatch):
+    """Each known sentence, laid out as prose, is found; what could never be found is an error."""
+    cases = [(f"{k} {n}", f"Before. {s[0].upper()}{s[1:]}.\n\nAfter.") for k, many in license_scan.SENTENCES.items() for n, s in enumerate(many)]
+    got = {r.doc_id: r.sentence_ids for r in license_scan.scan(spark.createDataFrame(cases, "doc_id string, text string")).collect()}
+    assert got == {i: i.split()[0] for i, _ in cases}
+    assert license_scan.unreachable() == []
+    monkeypatch.setitem(license_scan.SENTENCES, "odd-1", ["Not in, normal form", "mit license"])
+    monkeypatch.setattr(license_scan, "RULES", (*license_scan.RULES, ("X", ("none-1",)), ("Y", ("mit-1", "cc0-1"))))
+    assert set(license_scan.unreachable()) == {"Not in, normal form", "mit license", "none-1", "mit-1 cc0-1"}
+
+
 def test_wrapped_licences(spark):
     """Full headers as they are laid out in files: wrapped, in comments, with Windows line ends, with an address in the line."""
-    headers = {"Apache-2.0": APACHE.format("\n\n    "), "MIT": MIT, "BSD-3-Clause": BSD, "GPL-3.0-or-later": GPL, "MPL-2.0": MPL}
+    headers = {"Apache-2.0": APACHE.format("\n\n    "), "MIT": MIT, "BSD-3-Clause": BSD, "GPL-3.0-or-later": GPL, "MPL-2.0": MPL, "ISC": ISC, "LGPL-2.1-or-later": LGPL, "Zlib": ZLIB, "EPL-2.0": EPL, "BSL-1.0": BOOST, "Unlicense": UNLICENSE}
+    headers |= {"AGPL-3.0-or-later": GPL.replace("GNU General", "GNU Affero General").replace("GNU\nGeneral", "GNU\nAffero General"), "0BSD": ISC.replace(", provided that the above\ncopyright notice and this permission notice appear in all copies", "")}
     layouts = [lambda t: t, lambda t: t.replace("\n", "\r\n"), *(lambda t, m=m: "".join(f"{m} {x}".rstrip() + "\n" for x in t.split("\n")) for m in ("#", "//", " *", "--", ";;"))]
     cases = [(f"{name} {i}", layout(text)) for name, text in headers.items() for i, layout in enumerate(layouts)]
+    cases += [("BSD-3-Clause whole", BSD + DISCLAIMER), ("BSD-2-Clause whole", BSD.partition("\n\n3. ")[0] + DISCLAIMER), ("BSD-3-Clause whole in comments", "".join(f"# {x}".rstrip() + "\n" for x in (BSD + DISCLAIMER).split("\n")))]
     cases += [("Apache-2.0 inline", APACHE.format(" ")), ("Apache-2.0 box", "/*\n" + "\n".join(f" * {x:75} *" for x in APACHE.format(" ").split("\n")) + "\n */")]
     got = {r.doc_id: (r.licenses, r.n_parts) for r in license_scan.scan(spark.createDataFrame(cases, "doc_id string, text string")).collect()}
     assert got == {i: (i.split()[0], 0) for i, _ in cases}
