@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm import byte_bpe, near_dedup, quality, queries, repeats
-from docweave.llm.common import keep, load
+from docweave.llm.common import discard, load, step
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,10 +29,10 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     Of rows with the same id and text one stays; rows with a null id all stay.
     """
     kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept_id")))
-    lone = F.when(F.col("doc_id").cast("long").isNull(), F.monotonically_increasing_id())
-    rows = rows.withColumn("__text_key", repeats.text_key(F.col("text"))).withColumn("__lone", lone)
-    return rows.dropDuplicates(["doc_id", "__text_key", "__lone"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    # The row travels as one column, whatever its columns are called.
+    rows = docs.select(F.struct("*").alias("__row"), F.col("doc_id").cast("long").alias("__id"), repeats.text_key(F.col("text")).alias("__key"))
+    rows = rows.join(kept, F.col("__id").eqNullSafe(F.col("__kept_id"))).withColumn("__lone", F.when(F.col("__id").isNull(), F.monotonically_increasing_id()))
+    return rows.dropDuplicates(["__id", "__key", "__lone"]).select("__row.*")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +42,8 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mixture takes them."""
-    out = queries.mixture(docs)
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).where("mix_copies > 0").select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = queries.mixture(docs.select(F.struct("*").alias("__row"), "doc_id", "text", "lang", "source"))
+    return rows.where("mix_copies > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select("__row.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,9 +64,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = keep(docs)
-    return docs
+    """The stages one after the other; each table, and what its stage has kept on the way, goes as soon as the next one is written."""
+    docs, before = load(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        docs = step(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        if before is not None:
+            discard(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
