@@ -125,7 +125,8 @@ FROM {at}"""
 #: Strings of 400 bytes as hex, by a hash; starts that come twice; runs of covered bytes; what is left.
 _REPEATS_SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-s AS (SELECT r, i, md5(substr(h, 2 * i + 1, 800)) AS m FROM (SELECT r, h, unnest(range(greatest(length(h) // 2 - 399, 0))) AS i FROM d)),
+p AS (SELECT r, o, substr(h, 2 * o + 1, 2798) AS h, least(1000, n - o) AS n FROM (SELECT r, h, length(h) // 2 - 399 AS n, unnest(range(0, greatest(length(h) // 2 - 399, 0), 1000)) AS o FROM d)),
+s AS (SELECT r, o + i AS i, md5(substr(h, 2 * i + 1, 800)) AS m FROM (SELECT r, o, h, unnest(range(n)) AS i FROM p)),
 t AS (SELECT r, i FROM s WHERE m IN (SELECT m FROM s GROUP BY m HAVING count(*) > 1)),
 g AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM t),
 u AS (SELECT r, i, sum(CASE WHEN p IS NULL OR i > p + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS run FROM g),
