@@ -342,6 +342,8 @@ def with_repeats(df: DataFrame, length: int = 400, text_col: str = "text", out_c
     ranges = _ranges(df, length, text_col, key, out_col)
     if words:
         ranges = ranges.join(_word_ranges(df, words, text_col, key, f"{out_col}_words"), key, "full")
+    # Kept, so that in the join Spark can split a text that very many rows share.
+    ranges = keep(ranges)
     keyed = df.withColumn(f"{out_col}_own", text_key(F.col(text_col)))
     return keyed.join(ranges, F.col(f"{out_col}_own") == F.col(key), "left").drop(f"{out_col}_own", key)
 
