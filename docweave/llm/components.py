@@ -18,14 +18,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """
     edges = keep(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
 
-    made: list[DataFrame] = []
-
     def step(e: DataFrame, larger: bool) -> DataFrame:
         """e: (u, v).  Links neighbours of u on one side of it (for the larger step all links count, in both directions) to the smallest of all."""
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if larger else e
-        # Kept, so that neither side of the join comes from an aggregation and Spark can split a node with very many links.
-        least = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        made.append(least)
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         joined = both.join(least, "u")
         if larger:
             return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -40,10 +36,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if settled(edges):
             break
-        larger = keep(step(edges, True))
-        before, edges = edges, keep(step(larger, False).where("u <> v"))
-        discard(before, larger, *made)
-        made.clear()
+        before, edges = edges, keep(step(step(edges, True), False).where("u <> v"))
+        discard(before)
     else:
         raise RuntimeError(f"links did not settle in {rounds} rounds")
     # All links are stars now: from each node to the smallest of its component.
