@@ -9,9 +9,10 @@ A node of one class ends; a node of up to ``SMALL`` classes compares all of its
 
 Every node, small or large, first compares its classes with one of them, the pivot: as many comparisons as
 classes.  What this confirms is gathered into components, and links inside one add nothing more.  So a node of one
-component is done, and a node with at most ``SEEKERS`` classes outside its largest component compares these with all of it, block by
-block: work in proportion to the node.  Only other nodes branch on, two levels for each look.  What is still large after the
-last look is compared in the same way, so no candidate is dropped.  A group of many near copies costs what it has members.
+component is done, and where few classes (``SMALL``) are outside a node's largest component, these are compared with all of it, block by
+block.  So is a dense node, a quarter or more of which is one component, since texts so much alike would stay together: as long as the classes outside are
+``DENSE`` at most, work for each class that does not grow with the input.  Only other nodes branch on, two levels for each look.  What is still
+large after the last look is compared in the same way, so no candidate is dropped.  A group of many near copies costs what it has members.
 Every link is confirmed on full sets: |A and B| * 100 >= |A or B| * percent.
 
 Recall (``tests/llm`` measures it): ten trees miss a pair at the threshold with probability below 1e-4 after the two levels that are taken
@@ -39,8 +40,8 @@ from .repeats import text_key
 
 #: Coordinates of a signature; independent trees; levels taken at once from the root; looks at nodes, ``STEP`` levels apart.
 COORDINATES, TREES, START, DEPTH, STEP = 64, 10, 2, 5, 2
-#: Classes of a small node, and classes outside the largest component that a node compares; of a block of texts, and of a block of sketches; hashes of a bottom sketch.
-SMALL, SEEKERS, BLOCK, SKETCHES, BOTTOM = 48, 512, 96, 1024, 256
+#: Classes of a small node, and classes that a dense node compares with the rest; of a block of texts, and of a block of sketches; hashes of a bottom sketch.
+SMALL, DENSE, BLOCK, SKETCHES, BOTTOM = 48, 16_384, 96, 1024, 256
 #: Factor of the branching below the first levels.
 GROW = 1.25
 #: Words that a worker remembers the hash of.
@@ -368,7 +369,8 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
         named, nodes = _mixed(level, comp)
         nodes = keep(nodes)
         named = keep(named.join(nodes.select("node"), "node", "left_semi"))
-        ready = nodes if depth == DEPTH - 1 else nodes.where((F.col("size") <= SMALL) | (F.col("minor") <= SEEKERS))
+        dense = (F.col("minor") <= SMALL) | (F.col("minor") <= F.least(0.75 * F.col("size"), F.lit(float(DENSE))))
+        ready = nodes if depth == DEPTH - 1 else nodes.where((F.col("size") <= SMALL) | dense)
         pairs = keep(_across(named, ready, active, threshold))
         if fresh := not pairs.isEmpty():
             links.append(_confirm(pairs, active, width, percent))

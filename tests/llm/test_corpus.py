@@ -138,7 +138,7 @@ def near_copies(rng, n, base_words, edits):
 def test_near_groups(spark, monkeypatch):
     """Large groups of near copies, with chains through the threshold, many small groups and loners; small nodes, so that all levels are used."""
     monkeypatch.setattr(near_dedup, "SMALL", 8)
-    monkeypatch.setattr(near_dedup, "SEEKERS", 4)
+    monkeypatch.setattr(near_dedup, "DENSE", 16)
     rng = random.Random(5)
     texts = near_copies(rng, 120, 60, 8) + [t for _ in range(30) for t in near_copies(rng, 3, 40, 4)] + [" ".join(f"u{rng.randrange(10**7)}" for _ in range(30)) for _ in range(60)]
     texts += ["common start of texts " + t for t in near_copies(rng, 40, 20, 20)]
