@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -20,6 +21,8 @@ from ..storage import Files, own_folder, scratch
 SLICE_ROWS = 128
 #: Bytes of an Arrow batch.
 BATCH_BYTES = 4 << 20
+#: Bits of the bitmap of ``sought``, 4 MB.
+BITS = 1 << 25
 
 
 _holder: list = ["", lambda: None]
@@ -105,6 +108,21 @@ def map_rows(df: DataFrame, columns: list[str], schema: str | StructType, make:
     return df.select(*columns).mapInArrow(run, struct)
 
 
+def sought(rows: DataFrame, keys: DataFrame, *by: str) -> DataFrame:
+    """Rows but most of those that would find no partner in a join with keys, dropped before they are shuffled for it.
+
+    The hashes of keys make a bitmap of ``BITS`` bits, which is broadcast in pieces; its size does not grow with keys.
+    No partner is missed; a row whose hash another key has stays, so the join must follow.
+    """
+    bit = F.pmod(F.xxhash64(*by), F.lit(BITS)).alias("__bit")
+    maps = keys.select(bit).groupBy(F.bitmap_bucket_number("__bit").alias("__piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__bit")).alias("__map"))
+    at = F.bitmap_bit_position("__bit")
+    byte = F.conv(F.hex(F.substring("__map", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    # The row travels as one column, whatever its columns are called.
+    found = rows.select(F.struct("*").alias("__row"), bit).join(F.broadcast(maps), F.bitmap_bucket_number("__bit") == F.col("__piece"))
+    return found.where(F.getbit(byte, (at % 8).cast("int")) == 1).select("__row.*")
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write df as Parquet under the shared folder and read it back.
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, discard, hold, keep, map_rows, release, utf8
+from .common import Memo, discard, hold, keep, map_rows, release, sought, utf8
 from .components import components
 from .repeats import text_key
 
@@ -237,8 +237,8 @@ def _with_bottoms(texts: DataFrame, width: int) -> DataFrame:
 
 
 def _sketched(pairs: DataFrame, active: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sizes and sketches allow a link."""
-    slim = active.select("cid", "n", "sig")
+    """The pairs whose sizes and sketches allow a link; pairs: kept."""
+    slim = sought(active.select("cid", "n", "sig"), pairs.select(F.explode(F.array("a", "b")).alias("cid")), "cid")
     both = pairs.join(slim.toDF("a", "n_a", "sig_a"), "a").join(slim.toDF("b", "n_b", "sig_b"), "b")
     sized = both.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
 
@@ -264,7 +264,7 @@ def _confirm(pairs: DataFrame, active: DataFrame, width: int, percent: int) -> D
     placed = keep(homes.join(sizes, "home").select("cid", F.xxhash64("home", F.pmod(F.xxhash64("cid"), F.col("n"))).alias("block")))
     dealt = keep(pairs.join(placed.toDF("a", "i"), "a").join(placed.toDF("b", "j"), "b"))
     lists = dealt.groupBy("i", "j").agg(F.collect_list(F.struct("a", "b")).alias("p"))
-    members = dealt.select("i", "j", F.explode(F.array("a", "b")).alias("cid")).distinct().join(active.select("cid", "text"), "cid")
+    members = dealt.select("i", "j", F.explode(F.array("a", "b")).alias("cid")).distinct().join(sought(active.select("cid", "text"), placed, "cid"), "cid")
     groups = members.groupBy("i", "j").agg(F.collect_list(F.struct("cid", "text")).alias("t")).join(lists, ["i", "j"])
 
     def make():
@@ -305,7 +305,7 @@ def _across(named: DataFrame, nodes: DataFrame, active: DataFrame, threshold: fl
     partners = rows.select("node", F.pmod(F.xxhash64("cid"), F.col("bt")).cast("int").alias("t"), F.explode(F.expr("sequence(0, bs - 1)")).alias("s"), "cid", "comp", F.lit(False).alias("seeks"))
     seekers = rows.where("comp <> major").select("node", F.explode(F.expr("sequence(0, bt - 1)")).alias("t"), F.pmod(F.xxhash64("cid", F.lit(1)), F.col("bs")).cast("int").alias("s"), "cid", "comp", F.lit(True).alias("seeks"))
     at = rows.groupBy("cid").agg(F.collect_set("node").alias("at"))
-    signed = partners.unionByName(seekers).join(active.select("cid", "n", "sig", "low"), "cid").join(at, "cid")
+    signed = partners.unionByName(seekers).join(sought(active.select("cid", "n", "sig", "low"), rows, "cid"), "cid").join(at, "cid")
     grouped = signed.groupBy("node", "t", "s").agg(F.collect_list(F.struct("cid", "comp", "seeks", "n", "sig", "low", "at")).alias("m"))
 
     def make():
@@ -351,10 +351,11 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     least = some.groupBy("set_hash").agg(F.min(F.struct("doc", "text_key")).alias("least"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     classes = keep(least.select(F.monotonically_increasing_id().alias("cid"), "set_hash", F.col("least.doc").alias("least"), F.col("least.text_key").alias("text_key"), "n", "sig"))
     level = keep(_sized(_descend(classes, threshold, START, roots=True), first=True))
-    wanted = level.select("cid").distinct().join(classes.select("cid", F.col("least").alias("doc"), "text_key"), "cid")
-    keyed = docs.where("doc is not null").withColumn("text_key", text_key(F.col("text")))
+    wanted = keep(level.select("cid").distinct().join(classes.select("cid", F.col("least").alias("doc"), "text_key"), "cid"))
+    keyed = sought(docs.where("doc is not null").withColumn("text_key", text_key(F.col("text"))), wanted, "doc", "text_key")
     texts = keyed.join(wanted, ["doc", "text_key"]).groupBy("cid").agg(F.min("text").alias("text"))
     active = keep(_with_bottoms(texts.join(classes.select("cid", "n", "sig"), "cid"), width))
+    discard(wanted)
     release(df.sparkSession)
     links, comp = [], df.sparkSession.createDataFrame([], "id long, component long")
     for depth in range(DEPTH):
@@ -362,9 +363,10 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
         new = level.where("cid <> pivot").select(F.least("pivot", "cid").alias("a"), F.greatest("pivot", "cid").alias("b")).distinct()
         if depth:
             new = new.join(own, "a", "left").join(other, "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
-        new = _sketched(new, active, percent)
+        met = keep(new)
+        new = _sketched(met, active, percent)
         links.append(_confirm(new, active, width, percent))
-        discard(new)
+        discard(met, new)
         comp = keep(components(_union(links)))
         named, nodes = _mixed(level, comp)
         nodes = keep(nodes)

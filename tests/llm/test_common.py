@@ -62,3 +62,16 @@ def test_map_rows(spark):
 
     got = [r[0] for r in common.map_rows(spark.range(0, 300, 1, 1), ["id"], "x long", make).collect()]
     assert got == [i for i in range(300) for _ in range(i % 3)] + [-300]
+
+
+def test_sought_drops_only_rows_without_partner(spark, monkeypatch):
+    """With a large bitmap nearly all others go, with a full one they may stay; null keys and no keys at all."""
+    rows = spark.range(0, 5000, 1, 3).selectExpr("if(id % 500 = 1, null, id) as a", "cast(id as string) as b", "id as __map")
+    keys = rows.where("__map % 7 = 0 or a is null").select("a", "b")
+    wanted = {r["__map"] for r in rows.where("__map % 7 = 0 or a is null").collect()}
+    for bits, most in ((common.BITS, 5), (1 << 20, 20), (64, 5000)):
+        monkeypatch.setattr(common, "BITS", bits)
+        got = common.sought(rows, keys, "a", "b")
+        found = [r["__map"] for r in got.collect()]
+        assert got.columns == rows.columns and len(found) == len(set(found)) and wanted <= set(found) and len(set(found) - wanted) <= most
+    assert common.sought(rows, keys.limit(0), "a", "b").isEmpty()
