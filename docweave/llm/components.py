@@ -9,7 +9,18 @@ from .common import discard, keep
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, component) of each id in links(a, b); component: the smallest id reachable.
+    """(id, component) of each id in links(a, b); component: the smallest id reachable."""
+    return members(stars(links, rounds))
+
+
+def members(found: DataFrame) -> DataFrame:
+    """(id, component) of the ids in stars, those that the others lead to included."""
+    roots = found.select("v").distinct()
+    return found.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.select(F.col("v").alias("id"), F.col("v").alias("component")))
+
+
+def stars(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """(u, v), kept: each id in links(a, b) that is not the smallest of its component, and that smallest id.
 
     Alternates two steps until nothing changes: each node's larger neighbours are linked to its smallest
     one, then its smaller ones are.  Each round is two aggregations and joins by node, and is
@@ -40,6 +51,20 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         discard(before)
     else:
         raise RuntimeError(f"links did not settle in {rounds} rounds")
-    # All links are stars now: from each node to the smallest of its component.
-    roots = edges.select("v").distinct()
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.select(F.col("v").alias("id"), F.col("v").alias("component")))
+    return edges
+
+
+def grown(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Stars (u, v), kept, of all links that went into ``found`` (kept stars, which are deleted; None: none yet) and of new ones.
+
+    Only new links are followed: their ends are replaced by the components that they are in, and the stars of these are put before the old ones.
+    """
+    if found is None:
+        return stars(links)
+    own, other = found.toDF("a", "of_a"), found.toDF("b", "of_b")
+    named = links.join(own, "a", "left").join(other, "b", "left")
+    new = stars(named.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
+    moved = found.join(new.toDF("v", "to"), "v", "left").select("u", F.coalesce("to", "v").alias("v"))
+    out = keep(moved.unionByName(new))
+    discard(found, new)
+    return out

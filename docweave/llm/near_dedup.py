@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memo, discard, hold, keep, map_rows, release, sought, utf8
-from .components import components
+from .components import grown, members
 from .repeats import text_key
 
 #: Coordinates of a signature; independent trees; levels taken at once from the root; looks at nodes, ``STEP`` levels apart.
@@ -287,7 +287,7 @@ def _confirm(pairs: DataFrame, active: DataFrame, width: int, percent: int) -> D
 
 def _mixed(level: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members (node, cid, comp) of nodes that hold several components, and those nodes (node, size, major, minor): the largest component, and the classes outside it."""
-    named = level.select("node", "cid").join(comp, F.col("cid") == F.col("id"), "left").select("node", "cid", F.coalesce("component", "cid").alias("comp"))
+    named = level.select("node", "cid").join(comp.toDF("cid", "component"), "cid", "left").select("node", "cid", F.coalesce("component", "cid").alias("comp"))
     shares = named.groupBy("node", "comp").agg(F.count("*").alias("c"))
     nodes = shares.groupBy("node").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("top")).where("size > top.c")
     return named, nodes.select("node", "size", F.col("top.comp").alias("major"), (F.col("size") - F.col("top.c")).alias("minor"))
@@ -357,24 +357,25 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     active = keep(_with_bottoms(texts.join(classes.select("cid", "n", "sig"), "cid"), width))
     discard(wanted)
     release(df.sparkSession)
-    links, comp = [], df.sparkSession.createDataFrame([], "id long, component long")
+    links, comp = [], None
     for depth in range(DEPTH):
-        own, other = (comp.select(F.col("id").alias(end), F.col("component").alias(f"of_{end}")) for end in "ab")
         new = level.where("cid <> pivot").select(F.least("pivot", "cid").alias("a"), F.greatest("pivot", "cid").alias("b")).distinct()
-        if depth:
-            new = new.join(own, "a", "left").join(other, "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
+        if comp is not None:
+            new = new.join(comp.toDF("a", "of_a"), "a", "left").join(comp.toDF("b", "of_b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
         met = keep(new)
         new = _sketched(met, active, percent)
         links.append(_confirm(new, active, width, percent))
         discard(met, new)
-        comp = keep(components(_union(links)))
+        comp = grown(comp, _union(links))
+        discard(*links)
+        links = []
         named, nodes = _mixed(level, comp)
         nodes = keep(nodes)
         named = keep(named.join(nodes.select("node"), "node", "left_semi"))
         dense = (F.col("minor") <= SMALL) | (F.col("minor") <= F.least(0.75 * F.col("size"), F.lit(float(DENSE))))
         ready = nodes if depth == DEPTH - 1 else nodes.where((F.col("size") <= SMALL) | dense)
         pairs = keep(_across(named, ready, active, threshold))
-        if fresh := not pairs.isEmpty():
+        if not pairs.isEmpty():
             links.append(_confirm(pairs, active, width, percent))
         large = named.join(nodes.join(ready.select("node"), "node", "left_anti").select("node"), "node", "left_semi")
         discard(level, shuffles=True)
@@ -387,8 +388,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     several = keep(own.groupBy("doc").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a <> z").select("doc", "a"))
     if not several.isEmpty():
         links.append(own.join(several, "doc").where("cid <> a").select("a", F.col("cid").alias("b")))
-        fresh = True
-    final = keep(components(_union(links))) if fresh else comp
+    final = keep(members(grown(comp, _union(links)) if links else comp))
     # Components are named by their smallest id.
     named = final.join(classes.select(F.col("cid").alias("id"), "least"), "id").groupBy("component").agg(F.min("least").alias("first"))
     firsts = keep(final.join(keep(named), "component").select("id", "first"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docweave.llm import ann, mixing, near_dedup, quality, queries, repeats
-from docweave.llm.components import components
+from docweave.llm.components import components, grown, members
 
 
 def docs_of(spark, texts):
@@ -211,6 +211,19 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_grow(spark):
+    """New links, in any order and also inside of known components, give what all links at once give."""
+    rng = np.random.default_rng(4)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (260, 2))] + [(7, n) for n in range(400, 500)] + [(5, 5)]
+    found = None
+    for at in range(0, len(links), 120):
+        found = grown(found, spark.createDataFrame(links[at : at + 120], "a long, b long"))
+    found = grown(found, spark.createDataFrame([], "a long, b long"))
+    whole = components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert sorted(map(tuple, members(found).collect())) == sorted(map(tuple, whole))
+    assert len(whole) == len({r.id for r in whole})
+
+
 def test_waterfill():
     assert mixing.waterfill(100, [1, 1], [30, 500]) == [30, 70]
     assert mixing.waterfill(100, [3, 1, 0], [500, 500, 500]) == [75, 25, 0]
