@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, keep
+from .common import discard, keep, small_table
 
 #: Leaves of a tree; more is an error, since the tree is a declaration, not data.
 MAX_LEAVES = 100_000
@@ -99,7 +99,7 @@ def cuts(slim: DataFrame, names: list[str], tree: Node, budget: float | None = N
     plan = [(*k, i, *(divmod(int(got.get(k, 0) + 1e-6), t) if t else (0, 0))) for i, (k, t) in enumerate(have.items())]
     leaf_schema = ", ".join([*(f"{n} string" for n in names), "__mix_leaf int, __mix_epochs long, __mix_rest long"])
     # All tables of leaves have a row for each: bounded by MAX_LEAVES.
-    leaf = F.broadcast(spark.createDataFrame(plan, leaf_schema))
+    leaf = F.broadcast(small_table(spark, plan, leaf_schema))
     keyed = keep(slim.join(leaf, names).select("__mix_leaf", _key(seed, F.col("__mix_epochs"), F.col("__mix_id")).alias("key"), F.col("__mix_tokens").alias("t")))
     edge_schema = "__mix_leaf int, rest long, prefix string, before long"
     edges = [(p[-3], p[-1], "", 0) for p in plan]
@@ -107,7 +107,7 @@ def cuts(slim: DataFrame, names: list[str], tree: Node, budget: float | None = N
 
     def inside() -> DataFrame:
         """Rows of each leaf's bucket so far."""
-        edge = F.broadcast(spark.createDataFrame(edges, edge_schema))
+        edge = F.broadcast(small_table(spark, edges, edge_schema))
         return keyed.join(edge, "__mix_leaf").where(F.substring("key", 1, digits) == F.col("prefix"))
 
     def running(bucket: Column) -> DataFrame:
@@ -124,7 +124,7 @@ def cuts(slim: DataFrame, names: list[str], tree: Node, budget: float | None = N
     ends = {e[0]: last.get(e[0], e[2]) for e in edges}
     discard(keyed)
     rows_ = [(*p[: len(names)], p[-2], ends.get(p[-3], "g")) for p in plan]
-    return spark.createDataFrame(rows_, ", ".join([*(f"{n} string" for n in names), "__mix_epochs long, __mix_cut string"]))
+    return small_table(spark, rows_, ", ".join([*(f"{n} string" for n in names), "__mix_epochs long, __mix_cut string"]))
 
 
 def mix(

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import give_back, hold, utf8
 
 #: Bytes of a block, compression level, dictionary bytes; bounds of the labelled sample.
 BLOCK, LEVEL, DICTIONARY, BLOCKS, ROWS, SAMPLE = 1024, 3, 32_768, 3000, 6000, 3000
@@ -106,8 +106,10 @@ class CompressionQuality:
 
         @F.pandas_udf("difference double, ratio double")
         def measure(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            hold("quality", _compressors.cache_clear)
             for part in texts:
                 yield pd.DataFrame([features(utf8(t), good, bad) for t in part], columns=["difference", "ratio"])
+            give_back()
 
         return measure(text)
 
@@ -117,6 +119,7 @@ class CompressionQuality:
 
         @F.pandas_udf("double")
         def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            hold("quality", _compressors.cache_clear)
             for part in texts:
                 out = []
                 for t in part:
@@ -124,6 +127,7 @@ class CompressionQuality:
                     z = max(-60.0, min(60.0, w0 + w1 * d + w2 * r))
                     out.append(round(1 / (1 + math.exp(-z)), 9))
                 yield pd.Series(out, dtype="float64")
+            give_back()
 
         return scored(text)
 

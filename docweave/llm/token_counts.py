@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, hold, map_rows, utf8
+from .common import Memo, give_back, hold, map_rows, utf8
 from .pretokens import Splitter, library
 
 #: Entries of the broadcast table (a few hundred kB), of a task's summary while it counts, and of a worker's cache.
@@ -142,8 +142,10 @@ def library_tokens(text: Column, ranks: str, pattern: str) -> Column:
 
     @F.pandas_udf("long")
     def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hold("library_tokens", _ranks.cache_clear)
         encode = _ranks(ranks, pattern).encode_ordinary
         for texts in parts:
             yield pd.Series([len(encode(t)) if t else 0 for t in texts], index=texts.index, dtype="int64")
+        give_back()
 
     return count(text)

@@ -2,7 +2,7 @@
 
 import os
 
-from docweave.llm import common
+from docweave.llm import common, near_dedup, repeats
 
 
 def test_memo_is_bounded():
@@ -75,3 +75,18 @@ def test_sought_drops_only_rows_without_partner(spark, monkeypatch):
         found = [r["__map"] for r in got.collect()]
         assert got.columns == rows.columns and len(found) == len(set(found)) and wanted <= set(found) and len(set(found) - wanted) <= most
     assert common.sought(rows, keys.limit(0), "a", "b").isEmpty()
+
+
+def test_small_table(spark):
+    rows, schema = [("a", 1, None), (None, -(1 << 40), 0.5)], "k string, n long, x double"
+    got = common.small_table(spark, rows, schema)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(rows, key=str) and got.schema == spark.createDataFrame(rows, schema).schema
+    assert common.small_table(spark, [], schema).collect() == []
+
+
+def test_repeats_drop_the_caches_of_other_operators(monkeypatch):
+    monkeypatch.setattr(repeats, "map_rows", lambda df, columns, schema, make: make)
+    common.hold("near_dedup", near_dedup._words.clear)
+    near_dedup._words.put(b"word", 1)
+    repeats.parse(None, 400, "text")()
+    assert near_dedup._words.get(b"word") is None

@@ -109,6 +109,13 @@ def test_stage_cuts_short_passages_of_over_50_words(spark, small):
     assert cut[6] == texts[6] and cut[7] == texts[7]
 
 
+def test_stage_cuts_each_text_once(spark, small):
+    """The stage's filter on what is left doesn't cut again in a second worker of the task."""
+    stage = corpus_pipeline.without_repeats(spark, docs_of(spark, ["x " * 300] * 2 + ["one two"]), small)
+    assert stage._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert [r.text for r in stage.collect()] == ["one two"]
+
+
 def check_near(df, width, percent):
     rows = [(r.doc_id, r.text) for r in df.collect() if r.doc_id is not None]
     want = brute.near(rows, width, percent)
@@ -310,6 +317,13 @@ def test_mix_of_many_rows(spark, monkeypatch, few):
     assert {(r.doc_id, (r.leaf,)): r.n_copies for r in out.collect()} == want and out.count() == len(rows)
 
 
+def test_leaves_pass_no_python_worker(spark):
+    """Tables of leaves go to the JVM without Python workers, whose pool stays in each executor."""
+    df = spark.range(9).selectExpr("id as doc_id", "cast(id % 3 as string) as leaf")
+    out = mixing.mix(df, [F.col("leaf")], mixing.Node(), F.lit(1), share=0.5)
+    assert "ExistingRDD" not in out._jdf.queryExecution().toString() and out.count() == 9
+
+
 def test_mix_odd(odd, none):
     tokens = F.length("text")
     out = mixing.mix(odd, [F.col("lang"), F.col("source")], mixing.Node(), tokens, share=0.5, copies_col="copies")
