@@ -1,7 +1,10 @@
 """What larger tables and odd inputs showed, on small ones."""
 
+import hashlib
+
 import pytest
 
+from docweave import catalog_queries as Q
 from docweave.functions import html as H
 
 
@@ -15,3 +18,9 @@ from docweave.functions import html as H
 def test_a_reference_ends_with_a_semicolon(html, want):
     assert H.html_text(html) == want
 
+
+def test_payload_has_the_hash_of_the_text_as_loaded(spark, tmp_path):
+    rows = [(1, " blanks at both ends \n", "en", "a", 0), (2, "plain", "en", "b", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["source_uri"]: (r["knowledge_base_id"], r["content_hash"]) for r in Q.payload_round_trip(spark, str(tmp_path)).collect()}
+    assert got == {f"doc://{i}": (kb, hashlib.sha256(text.encode()).hexdigest()) for i, text, _, kb, _ in rows}
