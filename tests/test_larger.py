@@ -1,11 +1,13 @@
 """What larger tables and odd inputs showed, on small ones."""
 
 import hashlib
+import math
 
 import pytest
 
 from docweave import catalog_queries as Q
 from docweave.functions import html as H
+from docweave.operators import retrieval as R
 
 
 @pytest.mark.parametrize(
@@ -24,3 +26,29 @@ def test_payload_has_the_hash_of_the_text_as_loaded(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["source_uri"]: (r["knowledge_base_id"], r["content_hash"]) for r in Q.payload_round_trip(spark, str(tmp_path)).collect()}
     assert got == {f"doc://{i}": (kb, hashlib.sha256(text.encode()).hexdigest()) for i, text, _, kb, _ in rows}
+
+
+def test_sparse_search_scores_chunks_in_their_rows(spark, monkeypatch):
+    """No join and one exchange, of the best rows; the same results in however many blocks and groups, with ties, repeated ids and nulls."""
+    texts = ["red blue", "red blue", "red red green", None, "", "blue green yellow", "grey"] + [f"word{i} common" for i in range(20)]
+    chunks = spark.createDataFrame([(f"{i:03}", t) for i, t in enumerate(texts)], "chunk_id string, content string")
+    asks = spark.createDataFrame([(0, "red"), (1, "blue green"), (1, "grey"), (2, None), (3, "none of these"), (4, "word3 word4 word4"), (5, "common"), (6, "reds")], "query_id long, text string")
+    docs = {f"{i:03}": t.split() for i, t in enumerate(texts) if t}
+    df = {t: sum(t in d for d in docs.values()) for d in docs.values() for t in d}
+    raw = {t: math.log(len(texts) - n + 0.5) - math.log(n + 0.5) for t, n in df.items()}
+    floor, avg = 0.25 * sum(raw.values()) / len(raw), sum(map(len, docs.values())) / len(texts)
+    part = lambda d, t: (floor if raw[t] < 0 else raw[t]) * d.count(t) * 2.5 / (d.count(t) + 1.5 * (0.25 + 0.75 * len(d) / avg))
+    want = {}
+    for q, terms in {0: ["red"], 1: ["blue", "green", "grey"], 4: ["word3", "word4", "word4"], 5: ["common"], 6: ["red"]}.items():
+        found = sorted((-round(x, 9), c) for c, d in docs.items() if (x := sum(part(d, t) for t in terms if t in raw)) > 0)[:3]
+        want |= {(q, c): (n, -x) for n, (x, c) in enumerate(found, 1)}
+    for batch, group in ((2000, 256), (3, 2)):
+        monkeypatch.setattr(R, "BATCH", batch)
+        monkeypatch.setattr(R, "GROUP", group)
+        out = R.BM25Index(chunks).search(asks, 3)
+        assert {(r["query_id"], r["chunk_id"]): (r["rank"], round(r["score"], 9)) for r in out.collect()} == {k: (n, pytest.approx(x)) for k, (n, x) in want.items()}
+    monkeypatch.setattr(R, "BATCH", 2000)
+    plan = R.BM25Index(chunks).search(asks, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    plan = R.with_chunks(R.BM25Index(chunks).search(asks, 3), chunks, asks)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
