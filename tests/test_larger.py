@@ -52,3 +52,15 @@ def test_sparse_search_scores_chunks_in_their_rows(spark, monkeypatch):
     assert "Join" not in plan and plan.count("Exchange") == 1
     plan = R.with_chunks(R.BM25Index(chunks).search(asks, 3), chunks, asks)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_stored_postings_name_each_chunk_once(spark, tmp_path):
+    """A segment for each batch, written without a shuffle; results like those of the index over texts, in however small parts a segment is scored."""
+    rows = [(f"{i:03}", " ".join(f"w{j}" for j in range(40) if (i + 1) % (j + 1) == 0)) for i in range(90)] + [("none", None), ("empty", "")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, content string").repartition(3)
+    stored = R.StoredIndex(spark, str(tmp_path / "i")).build(chunks)
+    ids = [c for r in stored._chunks().collect() for c in r["chunk_ids"]]
+    assert sorted(ids) == sorted(r[0] for r in rows) and stored._chunks().count() == 3
+    asks = spark.createDataFrame([(i, f"w{i} w{2 * i} w{3 * i} w7 w7") for i in range(12)] + [(99, "nothing"), (98, None)], "query_id long, text string")
+    show = lambda index: sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 9)) for r in index.search(asks, 4).collect())
+    assert show(stored) == show(R.BM25Index(chunks)) and len(show(stored)) > 30
