@@ -4,10 +4,12 @@ import hashlib
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from docweave import catalog_queries as Q
 from docweave.functions import html as H
 from docweave.operators import retrieval as R
+from docweave.operators import tables as K
 
 
 @pytest.mark.parametrize(
@@ -64,3 +66,40 @@ def test_stored_postings_name_each_chunk_once(spark, tmp_path):
     asks = spark.createDataFrame([(i, f"w{i} w{2 * i} w{3 * i} w7 w7") for i in range(12)] + [(99, "nothing"), (98, None)], "query_id long, text string")
     show = lambda index: sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 9)) for r in index.search(asks, 4).collect())
     assert show(stored) == show(R.BM25Index(chunks)) and len(show(stored)) > 30
+
+
+def shuffled(spark, do) -> int:
+    """Bytes that the stages of a call wrote for shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def total() -> int:
+        sc.listenerBus().waitUntilEmpty(30_000)
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = total()
+    do()
+    return total() - before
+
+
+def noise(i: int, n: int = 20_000) -> str:
+    """Text that can't be packed to less than half its length."""
+    return "".join(hashlib.sha256(f"{i}-{j}".encode()).hexdigest() for j in range(n // 64))
+
+
+def test_upserts_shuffle_keys_only(spark, tmp_path):
+    t = K.KeyedTable(spark, str(tmp_path / "t"), "k long, v string", ["k"])
+    rows = spark.createDataFrame([(i, noise(i)) for i in range(100)], "k long, v string")
+    assert shuffled(spark, lambda: t.upsert(rows)) < 100_000
+    again = spark.createDataFrame([(i % 70, f"{noise(i)} {i}") for i in range(140)] + [(None, "a"), (None, "b")], "k long, v string")
+    assert shuffled(spark, lambda: t.upsert(again)) < 100_000
+    got = {r["k"]: r["v"] for r in t.read().collect()}
+    assert got == {None: "b"} | {i: noise(i) for i in range(70, 100)} | {i: f"{noise(i + 70)} {i + 70}" for i in range(70)} and t.read().count() == 101
+
+
+def test_marked_numbers(spark):
+    wanted = {0, 5, 63, 64, 127, 1 << 33, (1 << 33) + 63, (1 << 40) + 62}
+    numbers = sorted(wanted | {1, 62, 65, (1 << 33) + 1, (1 << 40) + 63})
+    rows = K.marked(spark.createDataFrame([(n,) for n in numbers], "n long"), F.col("n"), spark.createDataFrame([(n,) for n in wanted], "x long")).collect()
+    assert {r["n"]: r["__marked"] for r in rows} == {n: n in wanted for n in numbers}
+
