@@ -10,6 +10,8 @@ from docweave import catalog_queries as Q
 from docweave.functions import html as H
 from docweave.operators import retrieval as R
 from docweave.operators import tables as K
+from docweave.plans.engine import Engine, EngineConfig
+from docweave.sources.files import raw_rows
 
 
 @pytest.mark.parametrize(
@@ -103,3 +105,34 @@ def test_marked_numbers(spark):
     rows = K.marked(spark.createDataFrame([(n,) for n in numbers], "n long"), F.col("n"), spark.createDataFrame([(n,) for n in wanted], "x long")).collect()
     assert {r["n"]: r["__marked"] for r in rows} == {n: n in wanted for n in numbers}
 
+
+@pytest.mark.parametrize("per", ["chunk", "document"])
+def test_indexing_shuffles_no_texts(spark, tmp_path, per):
+    """Repeated sources and texts, texts that the cache knows, errors; each distinct text has its vector, as from the model."""
+    engine = Engine(spark, EngineConfig(str(tmp_path / "e"), chunk_size=1_000_000, chunk_overlap=0, cache_per=per))
+    kb = engine.create_knowledge_base("k")["id"]
+
+    def ingest(*rows):
+        df = spark.createDataFrame([(u, t, e, m) for u, t, e, m in rows], "u string, t string, e string, m long")
+        extra = F.when(F.col("e").isNotNull(), F.create_map(F.lit("error"), F.col("e"))).otherwise(F.create_map().cast("map<string,string>"))
+        raw = raw_rows(df, F.col("t"), F.col("u"), F.lit("txt"), kb, modified=F.timestamp_seconds("m"), extra=extra)
+        return {r["source_uri"]: (r["skipped"], r["chunk_count"], r["error"]) for r in engine.ingest_raw(raw, kb).collect()}
+
+    held = lambda: {r["source_uri"]: (r["content"], r["vector"]) for r in engine.vectors.read(kb).collect()}
+    alike = lambda a, b: all(abs(x - y) < 1e-9 for x, y in zip(a, b, strict=True))
+    texts = {f"n{i}": noise(i, 4000) for i in range(100)}
+    rows = [*((u, t, None, 1) for u, t in texts.items()), ("twice", "old", None, 1), ("twice", "new same", None, 2), ("tie", "b c", None, 1), ("tie", "b a", None, 1), ("tie", "a", None, 1), ("copy", texts["n3"], None, 1), ("bad", None, "broken", 1), ("bad", "read", None, 0), ("none", "", None, 1)]
+    found: list = []
+    bytes_ = shuffled(spark, lambda: found.append(ingest(*rows)))
+    assert per == "document" or bytes_ < 150_000
+    assert found[0] == {u: (False, 1, None) for u in (*texts, "twice", "tie", "copy")} | {"bad": (False, 0, "broken"), "none": (False, 0, None)}
+    got = held()
+    assert {u: t for u, (t, _) in got.items()} == texts | {"twice": "new same", "tie": "b c", "copy": texts["n3"]}
+    again = ingest(*((u, t, None, 3) for u, t in texts.items() if u != "n5"), ("n5", texts["n6"], None, 3), ("fresh", "fresh", None, 3), ("other", "fresh", None, 3), ("bad", "read", None, 3))
+    assert again == {u: (True, 0, None) for u in texts if u != "n5"} | {u: (False, 1, None) for u in ("n5", "fresh", "other", "bad")}
+    got = held()
+    assert {u: t for u, (t, _) in got.items()} == texts | {"n5": texts["n6"], "twice": "new same", "tie": "b c", "copy": texts["n3"], "fresh": "fresh", "other": "fresh", "bad": "read"}
+    want = {r["c"]: r["v"] for r in spark.createDataFrame([(t,) for t, _ in got.values()], "c string").select("c", engine.embed(F.col("c")).alias("v")).collect()}
+    assert all(alike(v, want[t]) for t, v in got.values())
+    cached = engine.indexer.cache.read()
+    assert cached.count() == cached.select("content_hash").distinct().count() == len({t for t, _ in got.values()} | {texts["n5"]})
