@@ -2,12 +2,15 @@
 
 import hashlib
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from docweave import catalog_queries as Q
 from docweave.functions import html as H
+from docweave.functions import text as T
+from docweave.operators import chunk as C
 from docweave.operators import retrieval as R
 from docweave.operators import tables as K
 from docweave.plans.engine import Engine, EngineConfig
@@ -136,3 +139,22 @@ def test_indexing_shuffles_no_texts(spark, tmp_path, per):
     assert all(alike(v, want[t]) for t, v in got.values())
     cached = engine.indexer.cache.read()
     assert cached.count() == cached.select("content_hash").distinct().count() == len({t for t, _ in got.values()} | {texts["n5"]})
+
+
+@pytest.mark.parametrize("split", [lambda df: C.chunk_semantic(df, 0.9, 96), lambda df: C.chunk_recursive(df, 64, 8)])
+def test_chunking_a_long_text_takes_time_in_proportion(spark, split):
+    """A chunk for each of many sentences; none carries the others along."""
+    n = 40_000
+    df = spark.createDataFrame([("a", " ".join(f"Word{i} stands {i} alone." for i in range(n)))], "id string, content string")
+    began = time.time()
+    rows = split(df).select("chunk_index", "content").orderBy("chunk_index").collect()
+    assert time.time() - began < 15
+    assert " ".join(r["content"] for r in rows) == " ".join(f"Word{i} stands {i} alone." for i in range(n))
+    assert [r["chunk_index"] for r in rows] == list(range(len(rows))) and len(rows) > n * 0.9
+
+
+def test_strip_takes_all_white_space(spark):
+    blanks = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+    rows = spark.createDataFrame([(f"{blanks}a{blanks}b{blanks}",), (blanks,), ("",), (None,), ("​x​",)], "t string")
+    got = [tuple(r) for r in rows.select(T.strip(F.col("t")), T.rstrip(F.col("t")), T.is_blank(F.col("t"))).collect()]
+    assert got == [(t and t.strip(), t and t.rstrip(), None if t is None else not t.strip()) for t in (f"{blanks}a{blanks}b{blanks}", blanks, "", None, "​x​")]
