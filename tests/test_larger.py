@@ -14,6 +14,7 @@ from docweave.operators import chunk as C
 from docweave.operators import retrieval as R
 from docweave.operators import tables as K
 from docweave.plans.engine import Engine, EngineConfig
+from docweave.sources import files as L
 from docweave.sources.files import raw_rows
 
 
@@ -158,3 +159,11 @@ def test_strip_takes_all_white_space(spark):
     rows = spark.createDataFrame([(f"{blanks}a{blanks}b{blanks}",), (blanks,), ("",), (None,), ("​x​",)], "t string")
     got = [tuple(r) for r in rows.select(T.strip(F.col("t")), T.rstrip(F.col("t")), T.is_blank(F.col("t"))).collect()]
     assert got == [(t and t.strip(), t and t.rstrip(), None if t is None else not t.strip()) for t in (f"{blanks}a{blanks}b{blanks}", blanks, "", None, "​x​")]
+
+
+def test_many_small_files_are_read_by_few_tasks(spark, tmp_path):
+    for i in range(400):
+        (tmp_path / f"{i}.html").write_text(f"<title>t{i}</title>")
+    rows = L.load_html(spark, str(tmp_path), "kb")
+    assert rows.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert {r["title"] for r in rows.select("title").collect()} == {f"t{i}" for i in range(400)}
